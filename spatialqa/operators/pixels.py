@@ -1,11 +1,9 @@
 """Operators that need pixel values: ``pixels(scene_id, x, y, r, g, b, a)``."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from spatialqa.functions.boxes import Box, iou  # noqa: F401
 from spatialqa.operators.ordered import top_k
-from spatialqa.operators.overlap import CELL
 from spatialqa.operators.runs import STRIP, on_strips, pixel_count, rect_runs, run_difference, shared_pieces, union_runs
 
 RGBA = ["r", "g", "b", "a"]
@@ -51,21 +49,27 @@ def appearance(pixels: DataFrame, boxes: DataFrame, ident: str = "det_id") -> Da
 def composite(layers: DataFrame, order: list[Column]) -> DataFrame:
     """Source-over blend of layer pixels in ``order`` (back to front), per scene pixel.
 
-    The top opaque pixel hides everything below it, so only what lies above it is kept.
-    Colours stay straight (not premultiplied); channels are rounded to integers at the end.
+    Eight-bit straight-alpha blending, rounded after every layer. An opaque pixel hides all
+    below it, so a stack starts at its topmost opaque layer: an aggregate finds that first,
+    and only the few translucent layers above it are gathered.
     """
     rank = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
     spot = ["scene_id", "x", "y"]
     ranked = layers.filter(F.col("a") > 0).withColumn("_rank", rank)
-    solid = F.max(F.when(F.col("a") == 255, F.col("_rank"))).over(Window.partitionBy(*spot))
-    seen = ranked.withColumn("_solid", solid).filter(F.col("_solid").isNull() | (F.col("_rank") >= F.col("_solid")))
-    # Premultiplied blending: each pixel is dimmed by the transparency of all above it.
-    above = Window.partitionBy(*spot).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    clear = F.coalesce(F.product(1 - F.col("a") / 255.0).over(above), F.lit(1.0))
-    part = seen.withColumn("_w", clear * F.col("a") / 255.0)
-    out = part.groupBy(*spot).agg(F.sum("_w").alias("alpha"), *(F.sum(F.col(k) * F.col("_w")).alias(k) for k in "rgb"))
-    level = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round(v, 0))).cast("int")
-    return out.select(*spot, *(level(F.col(k) / F.col("alpha")).alias(k) for k in "rgb"), level(F.col("alpha") * 255).alias("a"))
+    solid = ranked.filter(F.col("a") == 255).groupBy(*spot).agg(F.max("_rank").alias("_solid"))
+    seen = ranked.join(solid, spot, "left").filter(F.col("_solid").isNull() | (F.col("_rank") >= F.col("_solid")))
+    stacks = seen.groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("_rank", *(F.col(c).cast("bigint").alias(c) for c in RGBA)))).alias("_st"))
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in RGBA))
+    div255 = lambda v: F.floor((F.floor(v / 256) + v) / 256)
+    bits = 128  # sub-level precision of the blend weights
+
+    def over(below: Column, top: Column) -> Column:
+        mixed = top["a"] * 255 + below["a"] * (255 - top["a"])
+        weight = F.floor(top["a"] * 255 * 255 * bits / mixed)
+        channel = lambda c: F.floor(div255(top[c] * weight + below[c] * (255 * bits - weight) + 128 * bits) / bits)
+        return F.struct(*(channel(c).cast("bigint").alias(c) for c in "rgb"), div255(mixed + 128).cast("bigint").alias("a"))
+
+    return stacks.withColumn("_out", F.aggregate("_st", zero, over)).select(*spot, *(F.col(f"_out.{c}").cast("int").alias(c) for c in RGBA))
 
 
 def layer_depth(kind: Column, z_order: Column) -> Column:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,3 +19,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             ORACLES[name] = sql
         return function
     return register
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Output types both engines share: bigint, double rounded to 6 places, string, boolean."""
+    out = []
+    for field in df.schema.fields:
+        name, kind = field.name, field.dataType.typeName()
+        if kind in ("byte", "short", "integer", "long"):
+            out.append(F.col(name).cast("bigint").alias(name))
+        elif kind in ("float", "double", "decimal"):
+            out.append((F.round(F.col(name).cast("double"), 6) + 0.0).alias(name))
+        else:
+            out.append(F.col(name))
+    return df.select(*out)

@@ -5,7 +5,7 @@ that table: 400 boxes per scene, and more scenes with more events.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WIDTH, HEIGHT = 1800, 1200
 
@@ -23,6 +23,10 @@ select event_id as det_id, event_id as seq,
 from events""",
     "fx_scenes": """
 select distinct cast(floor(event_id/400) as bigint) as scene_id, 1800 as width, 1200 as height from events""",
+    # The same boxes at a quarter of the size, for mask work: scenes of 450 x 300.
+    "fx_shapes": """
+select det_id, seq, scene_id, category, confidence, cast(floor(x/4) as bigint) as x, cast(floor(y/4) as bigint) as y,
+  cast(floor(w/4) as bigint) as w, cast(floor(h/4) as bigint) as h from fx_boxes""",
     "fx_windowed": """
 select *, case when mod(det_id,3)=0 then 'global' else 'tile' end as source,
   case when mod(det_id,3)=0 then 0 when x>=1536 then 1288 else cast(floor(x/384) as bigint)*384 end as wx0,
@@ -53,7 +57,13 @@ select event_id as span_id, event_type as name,
   case when mod(event_id,4)=0 then 1 else 0 end as retry_count from events""",
 }
 
-NEEDS = {"fx_windowed": ["fx_boxes"], "fx_detections": ["fx_windowed"], "fx_gt": ["fx_boxes"]}
+NEEDS = {"fx_shapes": ["fx_boxes"], "fx_runs": ["fx_shapes"], "fx_windowed": ["fx_boxes"], "fx_detections": ["fx_windowed"], "fx_gt": ["fx_boxes"]}
+
+
+# DuckDB text of the diamond mask of every shape (``mask_runs`` is the Spark form).
+VIEWS["fx_runs"] = """
+select det_id, scene_id, category, y+dy as y, x+ins as x0, x+w-ins as x1 from (
+  select *, (abs(2*dy+1-h)*w)//(4*h) as ins from (select *, unnest(range(h)) as dy from fx_shapes)) where x+w-ins > x+ins"""
 
 
 def with_views(body: str, *names: str) -> str:
@@ -79,6 +89,15 @@ def with_views(body: str, *names: str) -> str:
     return f"with {rest}" + ",\n".join(ctes) + "\n" + head
 
 
+def mask_runs(shapes: DataFrame) -> DataFrame:
+    """Diamond mask of every shape as runs, with the other columns of the shape."""
+    dy, w, h = F.col("_dy"), F.col("w"), F.col("h")
+    inset = F.expr("abs(2*_dy+1-h)*w div (4*h)")
+    rows = shapes.withColumn("_dy", F.explode(F.sequence(F.lit(0).cast("bigint"), h - 1))).withColumn("_in", inset)
+    rest = [c for c in shapes.columns if c not in ("x", "y", "w", "h")]
+    return rows.select(*rest, (F.col("y") + dy).alias("y"), (F.col("x") + F.col("_in")).alias("x0"), (F.col("x") + w - F.col("_in")).alias("x1")).filter("x1 > x0")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
