@@ -29,7 +29,9 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in ("byte", "short", "integer", "long"):
             out.append(F.col(name).cast("bigint").alias(name))
         elif kind in ("float", "double", "decimal"):
-            out.append((F.round(F.col(name).cast("double"), 6) + 0.0).alias(name))
+            value = F.col(name).cast("double")
+            # Away from zero on the scaled double, as the SQL side rounds.
+            out.append((F.signum(value) * F.floor(F.abs(value) * 1e6 + 0.5) / 1e6 + 0.0).alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)
