@@ -14,10 +14,14 @@ from spatialqa.sources.derived import mask_runs, table, view, with_views
 
 CATEGORIES = ["tree", "stone_lantern", "building", "flower"]
 
+# Half of the predictions are thirds of a box, so that objects come apart into pieces.
+PRED_SQL = """raw_pred as (select det_id, scene_id, category, confidence, seq, case when mod(det_id//4,2)=0 then x+(mod(det_id//8,3)*w)//3 else x end as x, y,
+  case when mod(det_id//4,2)=0 then w//3 else w end as w, h from fx_boxes)"""
+
 # Predictions: every box, terrain class left out by the annotation's category list, centre in
 # the region, clipped to it, not half hidden by the ignore region.
-CLIP_SQL = """clip as (select det_id as pred_id, scene_id, category, confidence, seq, greatest(x,100) as x, greatest(y,50) as y,
-  least(x+w,1700)-greatest(x,100) as w, least(y+h,1100)-greatest(y,50) as h from fx_boxes
+CLIP_SQL = PRED_SQL + """, clip as (select det_id as pred_id, scene_id, category, confidence, seq, greatest(x,100) as x, greatest(y,50) as y,
+  least(x+w,1700)-greatest(x,100) as w, least(y+h,1100)-greatest(y,50) as h from raw_pred
   where category in ('tree','stone_lantern','building','flower') and x+w/2.0>=100 and x+w/2.0<1700 and y+h/2.0>=50 and y+h/2.0<1100),
 pred as (select * from clip where (greatest(0,least(x+w,300)-greatest(x,100))*greatest(0,least(y+h,250)-greatest(y,50)))/greatest(1,w*h)::double < 0.5),
 gt as (select * from fx_gt where category <> 'grass_ground')"""
@@ -38,7 +42,10 @@ out as (select scene_id, pred_id, gt_id, i as bbox_iou, case when gt_id is not n
 
 
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    preds = view(spark, folder, "fx_boxes").withColumnRenamed("det_id", "pred_id")
+    third = F.expr("(det_id div 4) % 2 = 0")
+    x = F.when(third, F.expr("x + (((det_id div 8) % 3) * w) div 3")).otherwise(F.col("x"))
+    w = F.when(third, F.expr("w div 3")).otherwise(F.col("w"))
+    preds = view(spark, folder, "fx_boxes").select(F.col("det_id").alias("pred_id"), "scene_id", "category", "confidence", "seq", x.alias("x"), "y", w.alias("w"), "h")
     base = view(spark, folder, "fx_scenes").select("scene_id")
     roi = base.select("scene_id", F.lit(100).alias("rx0"), F.lit(50).alias("ry0"), F.lit(1700).alias("rx1"), F.lit(1100).alias("ry1"), F.array(*map(F.lit, CATEGORIES)).alias("categories"))
     ignore = base.select("scene_id", F.lit(100).alias("x"), F.lit(50).alias("y"), F.lit(200).alias("w"), F.lit(200).alias("h"))
@@ -184,10 +191,6 @@ def masks(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(kept.join(pixels, "det_id", "left").select("scene_id", "category", "det_id", *"xywh", "pixels"))
 
 
-REPORT_SQL = """rep as (select scene_id, {recall} as recall, avg(confidence) as precision, count(*) filter (confidence < {cut})/count(*)::double as duplicate_rate, sum(w*{m})/1000.0::double as runtime,
-  case when mod(scene_id,5)<>3 then avg(h)/100 end as boundary_fscore, mod(scene_id,7)=2 as trunc, mod(scene_id,11)={bad} as bad from fx_boxes group by scene_id)"""
-
-
 def _report(spark: SparkSession, folder: str, shift: float, cut: float, m: int, bad: int) -> DataFrame:
     c = F.col
     base = view(spark, folder, "fx_boxes").groupBy("scene_id").agg(
@@ -215,9 +218,10 @@ def gate(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(G.regression_gate(_report(spark, folder, 0.0, 0.3, 4, 99), _report(spark, folder, -0.03, 0.32, 5, 4)))
 
 
-@query("gate_status", with_views("""select scene_id, 'FAIL' as status from (select distinct scene_id from fx_boxes)""", "fx_boxes"))
+@query("gate_status", with_views("""with b as (select scene_id, count(*) filter (confidence < 0.3)/count(*)::double as d0, count(*) filter (confidence < 0.319)/count(*)::double as d1, avg(h) as h from fx_boxes group by 1)
+select scene_id, case when d1-d0 > 0.02 or mod(scene_id,11)=4 then 'FAIL' when mod(scene_id,5)=3 or mod(scene_id,7)=2 then 'WARN' else 'PASS' end as status from b""", "fx_boxes"))
 def gate_status(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(G.gate_status(G.regression_gate(_report(spark, folder, 0.0, 0.3, 4, 99), _report(spark, folder, -0.03, 0.32, 5, 4))))
+    return tidy(G.gate_status(G.regression_gate(_report(spark, folder, 0.0, 0.3, 4, 99), _report(spark, folder, -0.01, 0.319, 4, 4))))
 
 
 @query("span_report", with_views("""select model, round(sum(case when kind='load' then duration else 0 end),6) as load_time, round(sum(case when kind='inference' then duration else 0 end),6) as inference_time,
