@@ -4,13 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spatialqa.functions.boxes import Box, truncated_edges
-from spatialqa.operators import detections as D, evaluate as E, fusion as U, gate as G, reports as R
-from spatialqa.operators.nms import nms
+from spatialqa.operators import evaluate as E, fusion as U, gate as G, reports as R
 from spatialqa.operators.ordered import upsert
+from spatialqa.plans.evaluation import evaluate_scenes
 from spatialqa.registry.base import query, tidy
 from spatialqa.registry.geometry import common_sql, iou_sql
-from spatialqa.registry.masks import H, PX, W, runs, scenes, shapes
-from spatialqa.sources.derived import mask_runs, table, view, with_views
+from spatialqa.registry.masks import H, PX, W, runs, shapes
+from spatialqa.session import materialize
+from spatialqa.sources.derived import view, with_views
 
 CATEGORIES = ["tree", "stone_lantern", "building", "flower"]
 
@@ -41,7 +42,8 @@ out as (select scene_id, pred_id, gt_id, i as bbox_iou, case when gt_id is not n
 """
 
 
-def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _annotated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(predictions, annotation of every scene, ignore regions, ground truth)."""
     third = F.expr("(det_id div 4) % 2 = 0")
     x = F.when(third, F.expr("x + (((det_id div 8) % 3) * w) div 3")).otherwise(F.col("x"))
     w = F.when(third, F.expr("w div 3")).otherwise(F.col("w"))
@@ -49,19 +51,27 @@ def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     base = view(spark, folder, "fx_scenes").select("scene_id")
     roi = base.select("scene_id", F.lit(100).alias("rx0"), F.lit(50).alias("ry0"), F.lit(1700).alias("rx1"), F.lit(1100).alias("ry1"), F.array(*map(F.lit, CATEGORIES)).alias("categories"))
     ignore = base.select("scene_id", F.lit(100).alias("x"), F.lit(50).alias("y"), F.lit(200).alias("w"), F.lit(200).alias("h"))
-    scored, _ = E.select_predictions(preds, roi, ignore)
-    return scored, view(spark, folder, "fx_gt").filter("category <> 'grass_ground'")
+    return preds, roi, ignore, view(spark, folder, "fx_gt").filter("category <> 'grass_ground'")
+
+
+def _evaluated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return evaluate_scenes(*_annotated(spark, folder), F.lit(1800 * 1200))
+
+
+def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    preds, roi, ignore, gt = _annotated(spark, folder)
+    return materialize(E.select_predictions(preds, roi, ignore)[0]), materialize(gt)
 
 
 @query("selected_predictions", with_views(f"with {CLIP_SQL} select pred_id, x, y, w, h from pred", "fx_boxes", "fx_gt"))
 def selected(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(_inputs(spark, folder)[0].select("pred_id", *"xywh"))
+    preds, roi, ignore, _ = _annotated(spark, folder)
+    return tidy(E.select_predictions(preds, roi, ignore)[0].select("pred_id", *"xywh"))
 
 
 @query("gt_matches", with_views(MATCH_SQL + "select scene_id, pred_id, gt_id, round(bbox_iou, 6) as bbox_iou from out where outcome = 'match'", "fx_boxes", "fx_gt"))
 def matches(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = E.match_gt(*_inputs(spark, folder))
-    return tidy(found.select("scene_id", "pred_id", "gt_id", "bbox_iou"))
+    return tidy(E.match_gt(*_inputs(spark, folder))[0].select("scene_id", "pred_id", "gt_id", "bbox_iou"))
 
 
 @query("prediction_outcomes", with_views(MATCH_SQL + "select pred_id, outcome from out", "fx_boxes", "fx_gt"))
@@ -91,21 +101,15 @@ RATES = """gt_count, prediction_count, true_positive_count, duplicate_count, fra
   round(duplicate_count/greatest(1,prediction_count)::double,6) as duplicate_rate, round(fragmented_gt_count/greatest(1,gt_count)::double,6) as fragmentation_rate, round((gt_count-true_positive_count)/greatest(1,gt_count)::double,6) as miss_rate"""
 
 
-def _scores(spark: SparkSession, folder: str, corpus: bool) -> DataFrame:
-    preds, gt = _inputs(spark, folder)
-    _, found = E.match_gt(preds, gt)
-    return tidy(E.detection_scores(gt, found, E.fragments(preds, gt), corpus=corpus))
-
-
 @query("detection_scores", with_views(MATCH_SQL.rstrip() + f", {PIECES}, {SCORES} select scene_id, {RATES} from s", "fx_boxes", "fx_gt"))
 def detection_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, folder, False)
+    return tidy(_evaluated(spark, folder)["scores"])
 
 
 @query("corpus_scores", with_views(MATCH_SQL.rstrip() + f""", {PIECES}, {SCORES}, t as (select sum(gt_count)::bigint as gt_count, sum(prediction_count)::bigint as prediction_count, sum(true_positive_count)::bigint as true_positive_count,
   sum(duplicate_count)::bigint as duplicate_count, sum(fragmented_gt_count)::bigint as fragmented_gt_count from s) select {RATES} from t""", "fx_boxes", "fx_gt"))
 def corpus_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, folder, True)
+    return tidy(_evaluated(spark, folder)["corpus"])
 
 
 @query("scores_by_size", with_views(MATCH_SQL.rstrip() + """, g as (select gt.scene_id, gt_id, case when w*h/2160000.0 < 0.001 then 'small' when w*h/2160000.0 >= 0.05 then 'large' else 'medium' end as size_class,
