@@ -5,11 +5,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from spatialqa.functions import taxonomy
 from spatialqa.operators.layers import layer_order
-from spatialqa.operators.runs import ROW, STRIP, on_strips, pixel_count, run_difference, shared_pieces, union_runs
+from spatialqa.operators.runs import ROW, on_strips, pixel_count, run_difference, shared_pieces, union_runs
+from spatialqa.session import materialize
 
 PAINT_KEYS = ["ownership_priority", "_bottom", "confidence", "seg_score"]
 
 
+SEGMENT = [*ROW, "_s", "x0", "x1"]
+
+
+def _ranked(ordered: DataFrame) -> DataFrame:
+    """Adds ``paint_rank`` (a number that sorts like the paint order) and ``owner_no``.
+
+    A global sort spreads over range partitions however large one scene is, and the running
+    row id of its output grows along the order. Written once, so every use sees the same ids.
+    """
+    numbered = materialize(ordered.orderBy("scene_id", "paint_order").withColumn("paint_rank", F.monotonically_increasing_id()).drop("paint_order"))
+    first = numbered.groupBy("scene_id", "owner").agg(F.min("paint_rank").alias("owner_no"))
+    return numbered.join(first, ["scene_id", "owner"])
+
+
 def painters(objects: DataFrame, edges: DataFrame) -> DataFrame:
     """Objects with their owner name and place in the paint order.
 
@@ -20,54 +35,61 @@ def painters(objects: DataFrame, edges: DataFrame) -> DataFrame:
     terrain = F.col("element_type") == "terrain"
     owner = F.when(terrain, F.concat(F.lit("terrain:"), surface)).otherwise(F.concat(F.lit("object:"), F.col("object_id").cast("string")))
     named = objects.withColumn("owner", owner).withColumn("_bottom", F.col("y") + F.col("h"))
-    return layer_order(named, edges, PAINT_KEYS).drop("_bottom")
+    return _ranked(layer_order(named, edges, PAINT_KEYS).drop("_bottom"))
 
 
 def stack(runs: DataFrame, painted: DataFrame, id_column: str = "object_id") -> DataFrame:
-    """Elementary segments ``(scene_id, y, x0, x1)`` with every object that covers them.
+    """Elementary segments with the ``paint_rank`` and ``owner_no`` of every object covering them.
 
     A segment lies between neighbouring run ends of its strip; a strip has at most
-    ``STRIP`` of them, so a run meets a bounded number of segments.
+    ``STRIP`` of them, so a run meets a bounded number of segments. Everything stays
+    partitioned by (scene, row, strip), which the aggregates over segments reuse.
     """
-    cut = on_strips(runs.select("scene_id", id_column, "y", "x0", "x1"))
+    ranks = painted.select("scene_id", id_column, "paint_rank", "owner_no")
+    cut = on_strips(runs.select("scene_id", id_column, "y", "x0", "x1").join(ranks, ["scene_id", id_column])).drop(id_column)
     keys = [*ROW, "_s"]
-    ends = cut.select(*keys, F.col("x0").alias("c")).union(cut.select(*keys, F.col("x1").alias("c"))).distinct()
+    ends = cut.select(*keys, F.explode(F.array("x0", "x1")).alias("c")).distinct()
     segments = (ends.withColumn("_n", F.lead("c").over(Window.partitionBy(*keys).orderBy("c"))).filter(F.col("_n").isNotNull())
                 .select(*keys, F.col("c").alias("_p0"), F.col("_n").alias("_p1")))
     hit = segments.join(cut, keys).filter((F.col("x0") <= F.col("_p0")) & (F.col("x1") >= F.col("_p1")))
-    return (hit.select(*ROW, F.col("_p0").alias("x0"), F.col("_p1").alias("x1"), id_column)
-            .join(painted.select("scene_id", id_column, "owner", "paint_order"), ["scene_id", id_column]))
+    return hit.select(*keys, F.col("_p0").alias("x0"), F.col("_p1").alias("x1"), "paint_rank", "owner_no")
+
+
+def _names(painted: DataFrame, rank: str = "paint_rank") -> DataFrame:
+    return painted.select(F.col("paint_rank").alias(rank), "owner", "object_id")
 
 
-def owned_segments(stacked: DataFrame, id_column: str = "object_id") -> DataFrame:
-    """Last painter of each segment: ``scene_id, y, x0, x1, owner, object_id, depth`` (distinct owners)."""
-    top = F.max(F.struct("paint_order", "owner", id_column))
-    return (stacked.groupBy(*ROW, "x0", "x1").agg(top.alias("_t"), F.count_distinct("owner").alias("depth"))
-            .select(*ROW, "x0", "x1", F.col("_t.owner").alias("owner"), F.col(f"_t.{id_column}").alias(id_column), "depth"))
+def owned_segments(stacked: DataFrame, painted: DataFrame) -> DataFrame:
+    """Last painter of each segment: ``scene_id, y, x0, x1, owner, object_id, overlapped``."""
+    top = stacked.groupBy(*SEGMENT).agg(F.max("paint_rank").alias("paint_rank"), F.min("owner_no").alias("_lo"), F.max("owner_no").alias("_hi"))
+    return (top.withColumn("overlapped", F.col("_lo") != F.col("_hi")).drop("_lo", "_hi", "_s")
+            .join(_names(painted), "paint_rank").drop("paint_rank"))
 
 
-def conflicts(stacked: DataFrame) -> DataFrame:
+def conflicts(stacked: DataFrame, painted: DataFrame) -> DataFrame:
     """Pixels each painting record took from another owner: ``scene_id, winner, loser, object_id, pixels``."""
-    order = Window.partitionBy(*ROW, "x0", "x1").orderBy("paint_order")
-    over = stacked.withColumn("loser", F.lag("owner").over(order)).filter(F.col("loser") != F.col("owner"))
-    return over.groupBy("scene_id", F.col("owner").alias("winner"), "loser", "object_id").agg(
-        F.sum(F.col("x1") - F.col("x0")).cast("bigint").alias("pixels"))
+    before = F.lag("owner_no").over(Window.partitionBy(*SEGMENT).orderBy("paint_rank"))
+    over = stacked.withColumn("_loser", before).filter(F.col("_loser") != F.col("owner_no"))
+    taken = over.groupBy("scene_id", "paint_rank", "_loser").agg(F.sum(F.col("x1") - F.col("x0")).cast("bigint").alias("pixels"))
+    losers = painted.select(F.col("owner_no").alias("_loser"), F.col("owner").alias("loser")).distinct()
+    return taken.join(_names(painted), "paint_rank").join(losers, "_loser").select("scene_id", F.col("owner").alias("winner"), "loser", "object_id", "pixels")
 
 
-def record_pixels(stacked: DataFrame, owned: DataFrame) -> DataFrame:
+def record_pixels(stacked: DataFrame, painted: DataFrame) -> DataFrame:
     """Visible and occluded pixels of each record; a record sees every pixel its owner keeps inside its mask."""
-    won = owned.select(*ROW, "x0", "x1", F.col("owner").alias("_won"))
+    # The owner painted last is the one of the largest rank.
+    won = F.max_by("owner_no", "paint_rank").over(Window.partitionBy(*SEGMENT))
     width = F.col("x1") - F.col("x0")
-    seen = F.when(F.col("owner") == F.col("_won"), width).otherwise(0)
-    return stacked.join(won, [*ROW, "x0", "x1"]).groupBy("scene_id", "object_id", "owner").agg(
-        F.sum(seen).cast("bigint").alias("visible_pixels"), F.sum(width - seen).cast("bigint").alias("occluded_pixels"))
+    seen = F.when(F.col("owner_no") == F.col("_won"), width).otherwise(0)
+    sums = stacked.withColumn("_won", won).groupBy("paint_rank").agg(F.sum(seen).cast("bigint").alias("visible_pixels"), F.sum(width - seen).cast("bigint").alias("occluded_pixels"))
+    return sums.join(painted.select("scene_id", "object_id", "owner", "paint_rank"), "paint_rank").drop("paint_rank")
 
 
 def ownership_summary(owned: DataFrame, eligible: DataFrame, keep_residual: bool = True) -> DataFrame:
     """Per scene: eligible, assigned and overlapping pixels; coverage counts before the residual owner."""
     width = F.col("x1") - F.col("x0")
     parts = owned.groupBy("scene_id").agg(F.sum(width).cast("bigint").alias("assigned_pixels"),
-                                          F.sum(F.when(F.col("depth") > 1, width).otherwise(0)).cast("bigint").alias("overlap_pixels"))
+                                          F.sum(F.when(F.col("overlapped"), width).otherwise(0)).cast("bigint").alias("overlap_pixels"))
     out = pixel_count(union_runs(eligible), ["scene_id"], "eligible_pixels").join(parts, "scene_id", "left").fillna(0)
     n = F.greatest(F.lit(1).cast("bigint"), F.col("eligible_pixels"))
     out = out.withColumn("unassigned_pixels", F.col("eligible_pixels") - F.col("assigned_pixels"))
@@ -81,11 +103,12 @@ def residual_runs(owned: DataFrame, eligible: DataFrame) -> DataFrame:
     return run_difference(union_runs(eligible), owned.select(*ROW, "x0", "x1"))
 
 
-def assign_owners(objects: DataFrame, runs: DataFrame, eligible: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(owned segments, stacked segments) inside the eligible pixels."""
+def assign_owners(objects: DataFrame, runs: DataFrame, eligible: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(owned segments, stacked segments, painters) inside the eligible pixels."""
+    painted = painters(objects, edges)
     open_ = shared_pieces(runs.select("scene_id", "object_id", "y", "x0", "x1"), union_runs(eligible))
-    stacked = stack(open_, painters(objects, edges))
-    return owned_segments(stacked), stacked
+    stacked = stack(open_, painted)
+    return owned_segments(stacked, painted), stacked, painted
 
 
 def owners(objects: DataFrame, owned: DataFrame) -> DataFrame:
@@ -104,13 +127,14 @@ def owners(objects: DataFrame, owned: DataFrame) -> DataFrame:
 def terrain_layers(objects: DataFrame, owned: DataFrame, stacked: DataFrame) -> DataFrame:
     """One layer per terrain class: QA status, uncertainty, visible and occluded pixels.
 
-    ``objects`` carry ``owner``, ``status`` and ``uncertain``.
+    ``objects`` is ``painters`` output with ``status`` and ``uncertain``.
     """
     ground = objects.filter(F.col("element_type") == "terrain")
     table = ground.groupBy("scene_id", "owner").agg(
         F.when(F.min(F.col("status") == "pass"), "pass").otherwise("manual_review").alias("qa_status"),
         F.max("uncertain").alias("uncertain"), F.count(F.lit(1)).alias("observations"))
-    covered = pixel_count(stacked.filter(F.col("owner").startswith("terrain:")).select(*ROW, "x0", "x1", "owner").distinct(), ["scene_id", "owner"], "_all")
+    numbers = ground.select("scene_id", "owner", "owner_no").distinct()
+    covered = pixel_count(stacked.select(*SEGMENT, "owner_no").join(numbers.select("owner_no", "owner"), "owner_no").drop("owner_no").distinct(), ["scene_id", "owner"], "_all")
     seen = pixel_count(owned, ["scene_id", "owner"], "visible_pixels")
     return (table.join(covered, ["scene_id", "owner"], "left").join(seen, ["scene_id", "owner"], "left").fillna(0, ["_all", "visible_pixels"])
             .withColumn("occluded_pixels", F.col("_all") - F.col("visible_pixels")).drop("_all"))
@@ -119,7 +143,8 @@ def terrain_layers(objects: DataFrame, owned: DataFrame, stacked: DataFrame) ->
 def accepted_ownership(assets: DataFrame, runs: DataFrame, edges: DataFrame) -> DataFrame:
     """Visible pixels of accepted assets painted by ``z_order`` and occlusion edges."""
     ordered = layer_order(assets, edges, ["z_order"]).withColumn("owner", F.concat(F.lit("object:"), F.col("object_id").cast("string")))
-    owned = owned_segments(stack(runs, ordered))
+    painted = _ranked(ordered)
+    owned = owned_segments(stack(runs, painted), painted)
     seen = pixel_count(owned, ["scene_id", "object_id"], "visible_pixels")
     return assets.join(seen, ["scene_id", "object_id"], "left").fillna(0, ["visible_pixels"])
 

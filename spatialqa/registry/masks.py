@@ -143,8 +143,7 @@ def _owned(spark: SparkSession, folder: str):
     objects = _objects(spark, folder)
     none = objects.select("scene_id", F.col("object_id").alias("front_id"), F.col("object_id").alias("back_id")).limit(0)
     r = runs(spark, folder).withColumnRenamed("det_id", "object_id")
-    owned, stacked = O.assign_owners(objects, r, eligible(spark, folder), none)
-    return objects, owned, stacked, none
+    return O.assign_owners(objects, r, eligible(spark, folder), none)
 
 
 LAYER_SQL = "(case when category='grass_ground' then 10 when category in ('tree','flower') then 30 when category='building' then 40 else 60 end)"
@@ -154,37 +153,37 @@ lay as (select p.scene_id, p.y, p.x, o.det_id, o.owner, (o.pri, o.bottom, o.conf
 
 @query("pixel_owners", with_views(f"with {OWN_SQL} select scene_id, owner, count(*) as visible_pixels from (select scene_id, y, x, arg_max(owner, ord) as owner from lay group by all) group by all", "fx_runs"))
 def owners(spark: SparkSession, folder: str) -> DataFrame:
-    _, owned, _, _ = _owned(spark, folder)
+    owned, _, _ = _owned(spark, folder)
     return tidy(M.pixel_count(owned, ["scene_id", "owner"], "visible_pixels"))
 
 
 @query("ownership_conflicts", with_views(f"""with {OWN_SQL}
 select scene_id, owner as winner, loser, det_id as object_id, count(*) as pixels from (select *, lag(owner) over (partition by scene_id, y, x order by ord) as loser from lay) where loser <> owner group by all""", "fx_runs"))
 def conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, stacked, _ = _owned(spark, folder)
-    return tidy(O.conflicts(stacked).select("scene_id", "winner", "loser", "object_id", "pixels"))
+    _, stacked, painted = _owned(spark, folder)
+    return tidy(O.conflicts(stacked, painted).select("scene_id", "winner", "loser", "object_id", "pixels"))
 
 
 @query("ownership_summary", with_views(f"""with {OWN_SQL}, d as (select scene_id, y, x, count(distinct owner) as depth from lay group by all)
 select scene_id, {W * (H - 10)}::bigint as eligible_pixels, count(*) as assigned_pixels, count(*) filter (depth > 1) as overlap_pixels, {W * (H - 10)} - count(*) as unassigned_pixels from d group by 1""", "fx_runs"))
 def summary(spark: SparkSession, folder: str) -> DataFrame:
-    _, owned, _, _ = _owned(spark, folder)
+    owned, _, _ = _owned(spark, folder)
     return tidy(O.ownership_summary(owned, eligible(spark, folder)).select("scene_id", "eligible_pixels", "assigned_pixels", "overlap_pixels", "unassigned_pixels"))
 
 
 @query("record_pixels", with_views(f"""with {OWN_SQL}, t as (select scene_id, y, x, arg_max(owner, ord) as won from lay group by all)
 select scene_id, det_id as object_id, count(*) filter (owner = won) as visible_pixels, count(*) filter (owner <> won) as occluded_pixels from lay join t using (scene_id, y, x) group by all""", "fx_runs"))
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    _, owned, stacked, _ = _owned(spark, folder)
-    return tidy(O.record_pixels(stacked, owned).select("scene_id", "object_id", "visible_pixels", "occluded_pixels"))
+    _, stacked, painted = _owned(spark, folder)
+    return tidy(O.record_pixels(stacked, painted).select("scene_id", "object_id", "visible_pixels", "occluded_pixels"))
 
 
 @query("terrain_layers", with_views(f"""with {OWN_SQL}, t as (select scene_id, y, x, arg_max(owner, ord) as won, bool_or(owner='terrain:grass') as has from lay group by all),
 g as (select scene_id, case when bool_and(confidence > 0.3) then 'pass' else 'manual_review' end as qa_status, count(*) as observations from fx_shapes where category='grass_ground' group by 1)
 select g.scene_id, g.qa_status, g.observations, count(*) filter (won='terrain:grass') as visible_pixels, count(*) filter (has and won<>'terrain:grass') as occluded_pixels from g left join t using (scene_id) group by all""", "fx_runs"))
 def terrain(spark: SparkSession, folder: str) -> DataFrame:
-    objects, owned, stacked, none = _owned(spark, folder)
-    return tidy(O.terrain_layers(O.painters(objects, none), owned, stacked).select("scene_id", "qa_status", "observations", "visible_pixels", "occluded_pixels"))
+    owned, stacked, painted = _owned(spark, folder)
+    return tidy(O.terrain_layers(painted, owned, stacked).select("scene_id", "qa_status", "observations", "visible_pixels", "occluded_pixels"))
 
 
 @query("accepted_ownership", with_views(f"""with {PX}, t as (select p.scene_id, p.y, p.x, arg_max(p.det_id, (s.y + s.h, p.det_id)) as top from px p join fx_shapes s using (det_id) group by all)

@@ -92,7 +92,7 @@ def test_fusion_equals_loop(spark, seed):
     check_fusion(spark, detections(seed), U.LIMIT)
 
 
-def test_fusion_of_a_hot_group_in_parts_and_bands(spark):
+def test_fusion_of_a_hot_group_in_parts(spark):
     check_fusion(spark, detections(13, n=260, space=900), 40)
 
 
