@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spatialqa.functions.boxes import Box, eval_iou, intersection
 from spatialqa.operators.nms import independent_rows
 from spatialqa.operators.ordered import first_per
-from spatialqa.operators.overlap import overlap_join, suffixed
+from spatialqa.operators.overlap import Grid, overlap_join, suffixed
 from spatialqa.operators.runs import pixel_count, run_difference, shared_pieces, union_runs
 from spatialqa.session import materialize
 
@@ -56,7 +56,7 @@ def select_predictions(predictions: DataFrame, annotations: DataFrame, ignore: D
 
 
 def match_gt(predictions: DataFrame, gt: DataFrame, threshold: float = 0.5, keys: list[str] = ["scene_id", "category"],
-             ident: str = "pred_id", gt_ident: str = "gt_id", levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+             ident: str = "pred_id", gt_ident: str = "gt_id", grid: Grid | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches with ``bbox_iou``, predictions with ``outcome``).
 
     In confidence order each prediction takes its best free object. All predictions are
@@ -65,7 +65,7 @@ def match_gt(predictions: DataFrame, gt: DataFrame, threshold: float = 0.5, keys
     asker so far. Outcomes: ``match``, ``duplicate`` (its best object is taken), ``false_positive``.
     """
     value = eval_iou(suffixed("a"), suffixed("b"))
-    pairs = overlap_join(predictions.select(*keys, ident, "confidence", "seq", *"xywh"), gt.select(*keys, gt_ident, *"xywh"), keys, value >= threshold, levels=levels)
+    pairs = overlap_join(predictions.select(*keys, ident, "confidence", "seq", *"xywh"), gt.select(*keys, gt_ident, *"xywh"), keys, value >= threshold, grid=grid)
     p, g = F.col(f"{ident}_a"), F.col(f"{gt_ident}_b")
     edges = materialize(pairs.select(F.col(keys[0]), p.alias("p"), g.alias("g"), value.alias("bbox_iou"),
                                      F.struct((-F.col("confidence_a")).alias("c"), F.col("seq_a").alias("s")).alias("rank")))
@@ -88,19 +88,19 @@ def match_gt(predictions: DataFrame, gt: DataFrame, threshold: float = 0.5, keys
 
 def fragments(predictions: DataFrame, gt: DataFrame, keys: list[str] = ["scene_id", "category"], ident: str = "pred_id",
               gt_ident: str = "gt_id", min_area: float = 0.05, containment: float = 0.8, apart: float = 0.2,
-              levels: int | None = None) -> DataFrame:
+              grid: Grid | None = None) -> DataFrame:
     """Distinct partial boxes of each object with at least two: ``scene_id, gt_id, pred_id``."""
     a, b = suffixed("a"), suffixed("b")
     share = a.area / b.area
     inside = intersection(a, b) / F.greatest(_one(), a.area)
     part = (share >= min_area) & (share < 0.8) & (inside >= containment)
-    pairs = overlap_join(predictions.select(*keys, ident, "confidence", "seq", *"xywh"), gt.select(*keys, gt_ident, *"xywh"), keys, part, levels=levels)
+    pairs = overlap_join(predictions.select(*keys, ident, "confidence", "seq", *"xywh"), gt.select(*keys, gt_ident, *"xywh"), keys, part, grid=grid)
     pieces = pairs.select(keys[0], F.col(f"{gt_ident}_b").alias(gt_ident), F.col(f"{ident}_a").alias(ident), F.col("confidence_a").alias("confidence"),
                           F.col("seq_a").alias("seq"), *(F.col(f"{k}_a").alias(k) for k in "xywh"))
     pieces = materialize(pieces.withColumn("_piece", F.concat_ws(":", gt_ident, ident)))
     order = [-F.col("confidence"), F.col("seq")]
     unique = first_per(pieces, [keys[0], gt_ident, *"xywh"], order)
-    kept = independent_rows(unique, [keys[0], gt_ident], order, "_piece", lambda p, q: eval_iou(p, q) >= apart, levels=levels)
+    kept = independent_rows(unique, [keys[0], gt_ident], order, "_piece", lambda p, q: eval_iou(p, q) >= apart, grid=grid)
     distinct = pieces.join(kept, "_piece", "left_semi")
     several = distinct.groupBy(keys[0], gt_ident).count().filter("count >= 2")
     return distinct.join(several, [keys[0], gt_ident], "left_semi").select(keys[0], gt_ident, ident)

@@ -1,8 +1,9 @@
 """Back-to-front order under occlusion edges."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from spatialqa.operators.ordered import running
 from spatialqa.session import materialize
 
 
@@ -25,6 +26,8 @@ def layer_order(items: DataFrame, edges: DataFrame, order: list[str], ident: str
     links = materialize(edges.select(scene, "front_id", "back_id").distinct()
                         .join(present.withColumnRenamed(ident, "front_id"), [scene, "front_id"], "left_semi")
                         .join(present.withColumnRenamed(ident, "back_id"), [scene, "back_id"], "left_semi"))
+    if links.isEmpty():
+        return _numbered(base.withColumn("paint_order", F.struct(F.lit(False).alias("in_cycle"), F.array("_key").alias("_path"))).withColumn("in_cycle", F.lit(False)).drop("_key"), scene, position)
     busy = links.select(scene, F.col("front_id").alias(ident)).union(links.select(scene, F.col("back_id").alias(ident))).distinct()
     nodes = materialize(base.join(busy, [scene, ident]).select(scene, F.col(ident).alias("_id"), "_key"))
     paths = nodes.select(scene, "_id", "_key", F.array().cast(f"array<{nodes.schema['_key'].dataType.simpleString()}>").alias("_path"))
@@ -53,10 +56,15 @@ def layer_order(items: DataFrame, edges: DataFrame, order: list[str], ident: str
         loops = cyclic.select(scene, F.col("_id").alias(ident), F.lit(True).alias("in_cycle"))
         out = (out.join(finished.withColumnRenamed("_id", ident), [scene, ident], "left").join(loops, [scene, ident], "left")
                .withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False))).withColumn("_path", F.coalesce("_path", single)))
-    out = out.withColumn("paint_order", F.struct("in_cycle", "_path")).drop("_path", "_key")
-    if position:
-        out = out.withColumn("position", F.row_number().over(Window.partitionBy(scene).orderBy("paint_order")) - 1)
-    return out
+    return _numbered(out.withColumn("paint_order", F.struct("in_cycle", "_path")).drop("_path", "_key"), scene, position)
+
+
+def _numbered(df: DataFrame, scene: str, position: bool) -> DataFrame:
+    if not position:
+        return df
+    # A global range sort numbers the rows whatever the size of one scene.
+    rows = materialize(df.orderBy(scene, "paint_order").withColumn("_at", F.monotonically_increasing_id()))
+    return running(rows, [scene], "_at", {"position": ("count", F.lit(1))}, exclusive=["position"], block=1 << 33).drop("_at")
 
 
 def _places(nodes: DataFrame, arcs: DataFrame, scene: str) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spatialqa.functions.boxes import Box, iou
 from spatialqa.operators.ordered import first_per, top_k
-from spatialqa.operators.overlap import CELL, cell_count, on_cells, overlap_join, suffixed, top_level
+from spatialqa.operators.overlap import Grid, cell_count, grid_for, on_cells, overlap_join, suffixed
 from spatialqa.session import materialize
 
 WIDTH = 256
@@ -39,14 +39,15 @@ def _beaten(edges: DataFrame) -> DataFrame:
 
 
 def independent_rows(df: DataFrame, keys: list[str], order: list[Column], ident: str,
-                     clash: Callable[[Box, Box], Column], *, cell: int = CELL, width: int = WIDTH, levels: int | None = None) -> DataFrame:
+                     clash: Callable[[Box, Box], Column], *, width: int = WIDTH, grid: Grid | None = None) -> DataFrame:
     """Ids of the rows a greedy pass in ``order`` would keep (one column, ``ident``).
 
     ``order`` must be total. ``clash`` says when two overlapping boxes exclude each other.
     """
     rank = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
     live = df.select(*keys, F.col(ident).alias("_id"), rank.alias("_ord"), *"xywh")
-    levels = top_level([live], cell) if levels is None else levels
+    shape = grid or grid_for([live])
+    cell, levels = shape
     grid = [*keys, "_lv", "_cx", "_cy"]
     kept: DataFrame | None = None
     while True:
@@ -76,7 +77,7 @@ def independent_rows(df: DataFrame, keys: list[str], order: list[Column], ident:
             break  # no list was cut, so every row has been decided
         undecided = live.join(fresh, "_id", "left_anti")
         dropped = overlap_join(undecided, live.join(fresh, "_id", "left_semi"), keys,
-                               clash(suffixed("a"), suffixed("b")), cell=cell, levels=levels)
+                               clash(suffixed("a"), suffixed("b")), grid=shape)
         live = materialize(undecided.join(dropped.select(F.col("_id_a").alias("_id")).distinct(), "_id", "left_anti"))
         if live.isEmpty():
             break
@@ -84,7 +85,7 @@ def independent_rows(df: DataFrame, keys: list[str], order: list[Column], ident:
 
 
 def nms(df: DataFrame, iou_threshold: float = 0.5, limit: int | None = None, *, scene: str = "scene_id",
-        category: str = "category", ident: str = "det_id", cell: int = CELL, width: int = WIDTH) -> DataFrame:
+        category: str = "category", ident: str = "det_id", width: int = WIDTH, grid: Grid | None = None) -> DataFrame:
     """Kept rows: confidence descending, then ``seq``; overlap strictly above the threshold suppresses.
 
     ``limit`` keeps the first rows per scene over all categories.
@@ -94,8 +95,7 @@ def nms(df: DataFrame, iou_threshold: float = 0.5, limit: int | None = None, *,
     order = [-F.col("confidence"), F.col("seq")]
     keys = [scene, category]
     unique = first_per(df.select(*keys, ident, "seq", "confidence", *"xywh"), [*keys, *"xywh"], order)
-    kept = independent_rows(unique, keys, order, ident, lambda a, b: iou(a, b) > iou_threshold, cell=cell, width=width,
-                            levels=top_level([df], cell))
+    kept = independent_rows(unique, keys, order, ident, lambda a, b: iou(a, b) > iou_threshold, width=width, grid=grid or grid_for([df]))
     out = df.join(kept, ident, "left_semi")
     return out if limit is None else top_k(out, [scene], order, limit)
 

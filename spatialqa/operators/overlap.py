@@ -1,6 +1,9 @@
 """Box overlap join as an equi-join on grid cells."""
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spatialqa.functions.boxes import Box, overlaps
@@ -18,13 +21,30 @@ def _level(box: Box, cell: int) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(side, F.lit(1.0)) / span) / F.log(F.lit(float(GROWTH))))).cast("int")
 
 
-def top_level(frames: list[DataFrame], cell: int = CELL) -> int:
-    """Highest grid level any box needs: one small aggregate, normally 0."""
-    levels = [df.select(F.max(_level(Box.of(), cell)).alias("m")) for df in frames]
-    union = levels[0]
-    for other in levels[1:]:
-        union = union.union(other)
-    return union.agg(F.max("m")).first()[0] or 0
+class Grid(NamedTuple):
+    """Cell side of the finest grid and the number of coarser grids above it."""
+    cell: int
+    levels: int
+
+
+def grid_for(frames: list[DataFrame], cell: int | None = None) -> Grid:
+    """Grid fitted to the boxes: cells of about three quarters of the mean box side.
+
+    One small aggregate over box sides. Levels above 0 exist only when some box is far
+    larger than a cell.
+    """
+    side = F.greatest("w", "h").cast("double")
+    sides = [df.select(side.alias("s")) for df in frames]
+    union = sides[0]
+    for other in sides[1:]:
+        union = union.unionAll(other)
+    row = union.agg(F.avg("s").alias("mean"), F.max("s").alias("top")).first()
+    if row["mean"] is None:
+        return Grid(cell or CELL, 0)
+    cell = cell or max(16, 16 * round(row["mean"] * 0.75 / 16))
+    reach = cell * (MAX_CELLS ** 0.5 - 1)
+    levels = max(0, math.ceil(math.log(max(row["top"], 1.0) / reach, GROWTH) - 1e-9))
+    return Grid(cell, levels)
 
 
 def on_cells(df: DataFrame, cell: int = CELL, levels: int = 0) -> DataFrame:
@@ -56,7 +76,7 @@ def cell_count(cell: int = CELL, levels: int = 0) -> Column:
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], condition: Column | None = None, *,
-                 cell: int = CELL, levels: int | None = None, hot: int = HOT) -> DataFrame:
+                 grid: Grid | None = None, cell: int | None = None, hot: int = HOT) -> DataFrame:
     """Pairs of overlapping boxes with equal ``keys``; columns end in ``_a`` and ``_b``.
 
     Both inputs carry ``x, y, w, h``. Every pair is produced once, in the cell holding
@@ -65,8 +85,7 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], condition: Column
     out over salts, side ``b`` is repeated for each of them. ``condition`` may refer to
     the suffixed columns and is applied inside the join.
     """
-    if levels is None:
-        levels = top_level([a, b], cell)
+    cell, levels = grid or grid_for([a, b], cell)
     grid = [*keys, "_lv", "_cx", "_cy"]
     left, right = on_cells(a, cell, levels), on_cells(b, cell, levels)
     crowded = (left.groupBy(*grid).count().filter(F.col("count") > hot)

@@ -41,18 +41,20 @@ def painters(objects: DataFrame, edges: DataFrame) -> DataFrame:
 def stack(runs: DataFrame, painted: DataFrame, id_column: str = "object_id") -> DataFrame:
     """Elementary segments with the ``paint_rank`` and ``owner_no`` of every object covering them.
 
-    A segment lies between neighbouring run ends of its strip; a strip has at most
-    ``STRIP`` of them, so a run meets a bounded number of segments. Everything stays
+    A segment lies between neighbouring run ends of its strip. A strip has at most
+    ``STRIP + 1`` distinct ends, so the set of them is small whatever the depth, and one
+    window attaches it to every run: one shuffle, no join of runs with segments. Everything stays
     partitioned by (scene, row, strip), which the aggregates over segments reuse.
     """
     ranks = painted.select("scene_id", id_column, "paint_rank", "owner_no")
     cut = on_strips(runs.select("scene_id", id_column, "y", "x0", "x1").join(ranks, ["scene_id", id_column])).drop(id_column)
     keys = [*ROW, "_s"]
-    ends = cut.select(*keys, F.explode(F.array("x0", "x1")).alias("c")).distinct()
-    segments = (ends.withColumn("_n", F.lead("c").over(Window.partitionBy(*keys).orderBy("c"))).filter(F.col("_n").isNotNull())
-                .select(*keys, F.col("c").alias("_p0"), F.col("_n").alias("_p1")))
-    hit = segments.join(cut, keys).filter((F.col("x0") <= F.col("_p0")) & (F.col("x1") >= F.col("_p1")))
-    return hit.select(*keys, F.col("_p0").alias("x0"), F.col("_p1").alias("x1"), "paint_rank", "owner_no")
+    group = Window.partitionBy(*keys)
+    ends = F.array_sort(F.array_union(F.collect_set("x0").over(group), F.collect_set("x1").over(group)))
+    inner = F.filter("_c", lambda c: (c >= F.col("x0")) & (c <= F.col("x1")))
+    pieces = cut.withColumn("_c", ends).withColumn("_c", inner).withColumn("_n", F.size("_c") - 1)
+    pair = F.arrays_zip(F.slice("_c", F.lit(1), F.col("_n")).alias("p0"), F.slice("_c", F.lit(2), F.col("_n")).alias("p1"))
+    return pieces.select(*keys, "paint_rank", "owner_no", F.inline(pair).alias("x0", "x1"))
 
 
 def _names(painted: DataFrame, rank: str = "paint_rank") -> DataFrame:

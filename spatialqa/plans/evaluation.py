@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spatialqa.operators import evaluate as E
-from spatialqa.operators.overlap import top_level
+from spatialqa.operators.overlap import grid_for
 from spatialqa.session import materialize
 
 
@@ -38,10 +38,10 @@ def evaluate_scenes(predictions: DataFrame, annotations: DataFrame, ignore: Data
     """
     scored, ignored = E.select_predictions(predictions, annotations, ignore)
     scored, gt = materialize(scored), materialize(gt)
-    levels = top_level([scored, gt])
-    matches, outcomes = E.match_gt(scored, gt, config.iou_threshold, levels=levels)
+    grid = grid_for([scored, gt])
+    matches, outcomes = E.match_gt(scored, gt, config.iou_threshold, grid=grid)
     outcomes = materialize(outcomes)
-    pieces = materialize(E.fragments(scored, gt, min_area=config.fragment_min_area, containment=config.fragment_containment, levels=levels))
+    pieces = materialize(E.fragments(scored, gt, min_area=config.fragment_min_area, containment=config.fragment_containment, grid=grid))
     return {
         "predictions": outcomes, "ignored": ignored, "matches": matches, "fragments": pieces,
         "missed": gt.join(matches.select("scene_id", "gt_id"), ["scene_id", "gt_id"], "left_anti"),
