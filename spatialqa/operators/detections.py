@@ -83,10 +83,10 @@ def classify_elements(df: DataFrame, scene_area: Column, keys: list[str] = ["sce
     out = (df.withColumn("_raw", F.col("category"))
            .withColumn("category", F.regexp_replace(F.lower(F.trim("category")), " ", "_")))
     category = F.col("category")
-    grp = taxonomy.category_group(category)
-    area = Box.of().area / scene_area
-    terrain = taxonomy.terrain_class(category)
-    hybrid = category.isin(*taxonomy.HYBRID)
+    # Named columns first, so that the long membership tests are evaluated once per row.
+    out = (out.withColumn("grp", taxonomy.category_group(category)).withColumn("terrain_class", taxonomy.terrain_class(category))
+           .withColumn("_hybrid", category.isin(*taxonomy.HYBRID)).withColumn("area_ratio", Box.of().area / scene_area))
+    grp, area, terrain, hybrid = F.col("grp"), F.col("area_ratio"), F.col("terrain_class"), F.col("_hybrid")
     kind = (F.when(terrain.isNotNull(), "terrain").when(hybrid, "hybrid").when(grp == "fx_environment", "effect").otherwise("instance"))
     layer = (F.when(terrain.isNotNull(), "base_terrain").when(hybrid, "large_object").when(grp == "fx_environment", "foreground_effect")
              .when(category.isin(*taxonomy.CHARACTERS), "character").when(grp == "vegetation", "vegetation")
@@ -97,16 +97,15 @@ def classify_elements(df: DataFrame, scene_area: Column, keys: list[str] = ["sce
     for name, value in taxonomy.PRIORITY.items():
         priority = priority.when(F.col("layer_group") == name, value)
     scored = F.col("classification_confidence") if "classification_confidence" in df.columns else F.lit(None).cast("double")
-    unclear = (grp == "other") & terrain.isNull() & (layer != "character") & ~(F.coalesce(scored, F.lit(0.0)) != 0.0)
-    return (out.withColumn("grp", grp).withColumn("element_type", kind).withColumn("layer_group", layer)
-            .withColumn("area_ratio", area).withColumn("terrain_class", terrain)
+    unclear = (grp == "other") & terrain.isNull() & (F.col("layer_group") != "character") & ~(F.coalesce(scored, F.lit(0.0)) != 0.0)
+    return (out.withColumn("element_type", kind).withColumn("layer_group", layer)
             .withColumn("uncertain", (F.col("element_type") == "hybrid") | unclear)
             .withColumn("requires_individual_export", F.col("element_type") != "terrain")
             .withColumn("requires_inpainting", F.col("element_type").isin("terrain", "hybrid"))
             .withColumn("hybrid_components", F.when(F.col("element_type") == "hybrid", F.array(
                 F.concat(category, F.lit("_base")), F.concat(category, F.lit("_structure")))).otherwise(F.array().cast("array<string>")))
             .withColumn("ownership_priority", priority.otherwise(F.lit(None).cast("int")))
-            .join(counts, [*keys, "_raw"]).drop("_raw"))
+            .join(counts, [*keys, "_raw"]).drop("_raw", "_hybrid"))
 
 
 def layer_plan(categories: DataFrame, keys: list[str] = ["scene_id"]) -> DataFrame:
