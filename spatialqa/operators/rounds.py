@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spatialqa.operators.ordered import first_per, running
+from spatialqa.session import materialize
 
 MIN_GAIN, PATIENCE, MAX_ROUNDS, MAX_OBJECTS, TARGET = 0.002, 2, 3, 300, 0.85
 
@@ -70,24 +71,24 @@ def pick_masks(windows: DataFrame, keys: list[str] = ["scene_id", "object_id"])
 def accept_retries(attempts: DataFrame, keys: list[str] = ["scene_id", "object_id"]) -> DataFrame:
     """Marks the attempts that replace what came before.
 
-    ``attempts(..., attempt, score, failures, usable)``; attempt 0 is the original. A retry is
-    accepted when usable, scoring more than 1e-6 above the current version and failing no more.
-    The number of attempts per object is the retry budget, so the fold is a short array.
+    ``attempts(..., attempt, score, failures, usable)``; the first attempt is the original. A
+    retry is accepted when usable, scoring more than 1e-6 above the current version and
+    failing no more. Each round finds the next accepted attempt of every object still
+    improving, by a partial aggregate; objects drop out as soon as none follows.
     """
-    item = F.struct("attempt", "score", "failures", "usable")
-    listed = attempts.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    start = F.struct(F.get("_all", F.lit(0))["score"].alias("score"), F.get("_all", F.lit(0))["failures"].alias("failures"),
-                     F.array().cast("array<int>").alias("taken"))
-
-    def step(state: Column, row: Column) -> Column:
-        good = (row["attempt"] > 0) & row["usable"] & (row["score"] > state["score"] + 1e-6) & (row["failures"] <= state["failures"])
-        return F.struct(F.when(good, row["score"]).otherwise(state["score"]).alias("score"),
-                        F.when(good, row["failures"]).otherwise(state["failures"]).alias("failures"),
-                        F.when(good, F.concat(state["taken"], F.array(row["attempt"].cast("int")))).otherwise(state["taken"]).alias("taken"))
-
-    folded = listed.withColumn("_f", F.aggregate("_all", start, step))
-    return folded.select(*keys, F.inline("_all"), F.col("_f.taken").alias("_taken")) \
-        .withColumn("improved", F.array_contains("_taken", F.col("attempt").cast("int"))).drop("_taken")
+    c = F.col
+    state = first_per(attempts.select(*keys, "attempt", "score", "failures"), keys, [c("attempt")])
+    accepted = attempts.select(*keys, "attempt").limit(0)
+    while True:
+        now = state.select(*keys, c("attempt").alias("_at"), c("score").alias("_score"), c("failures").alias("_failures"))
+        better = (c("attempt") > c("_at")) & c("usable") & (c("score") > c("_score") + 1e-6) & (c("failures") <= c("_failures"))
+        following = attempts.join(now, keys).filter(better).select(*keys, "attempt", "score", "failures")
+        state = materialize(first_per(following, keys, [c("attempt")]))
+        if state.isEmpty():
+            break
+        accepted = accepted.unionByName(state.select(*keys, "attempt"))
+    return (attempts.join(accepted.withColumn("improved", F.lit(True)), [*keys, "attempt"], "left")
+            .withColumn("improved", F.coalesce("improved", F.lit(False))).select(*attempts.columns, "improved"))
 
 
 def round_threshold(round_: Column, normal: float, relaxed: float, relax_from: int = 3, floor: float | None = None) -> Column:
