@@ -5,7 +5,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spatialqa.llm import bpe, ogg, packing
+from spatialqa.llm import bpe, hamming, ogg, packing, subspace, superkmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,57 @@ def op3_forced_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op4_window_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack_words(documents(spark, folder), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op8_super_k_mers(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages of 50 words removed."""
+    out = superkmers.remove_repeats(documents(spark, folder))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op8_super_k_mers"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as s from w, unnest(range(1, len(words) - 48)) t(i)),
+firsts as (select s, min(doc_id) as lo from windows group by s having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, p from (select doc_id, i from windows join firsts using (s) where doc_id > lo), unnest(range(i, i + 50)) t(p)),
+each as (select doc_id, words[p] as word, p from w, unnest(range(1, len(words) + 1)) t(p)),
+kept as (select doc_id, string_agg(word, ' ' order by p) as k, count(*) as n from each anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from w left join kept using (doc_id)"""
+
+
+@query
+def op9_hamming_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate documents."""
+    return hamming.near_duplicates(documents(spark, folder))
+
+
+ORACLES["op9_hamming_join"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, md5(array_to_string(words[i:i + 4], ' ')) as h from w, unnest(range(1, greatest(len(words) - 3, 2))) t(i) where len(words) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from documents union select r.doc_id, e.b from r join e on r.c = e.a),
+m as (select doc_id, min(c) as c from r group by doc_id)
+select m.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c as component_id, m.doc_id = c as kept from m left join n using (doc_id)"""
+
+
+@query
+def op10_subspace_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of one label."""
+    return subspace.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+ORACLES["op10_subspace_join"] = """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings),
+g as (select vec_id, label, x from v where label is not null and x is not null and len(list_filter(x, lambda t: t is null or not isfinite(t))) = 0
+      and list_sum(list_transform(x, lambda t: t * t)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+      where list_cosine_similarity(a.x, b.x) >= 0.98),
+r as (select vec_id, vec_id as c from v union select r.vec_id, l.b from r join l on r.c = l.a),
+m as (select vec_id, min(c) as c from r group by vec_id),
+k as (select a as vec_id, count(*) as n from l group by a)
+select m.vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, m.vec_id = c as kept from m left join k using (vec_id)"""
