@@ -5,7 +5,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spatialqa.llm import bpe, hamming, ogg, packing, subspace, superkmers
+from spatialqa.llm import bpe, hamming, mixture, ogg, packing, subspace, superkmers, zstd_quality
+from spatialqa.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,21 @@ r as (select vec_id, vec_id as c from v union select r.vec_id, l.b from r join l
 m as (select vec_id, min(c) as c from r group by vec_id),
 k as (select a as vec_id, count(*) as n from l group by a)
 select m.vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, m.vec_id = c as kept from m left join k using (vec_id)"""
+
+
+@query
+def op6_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text."""
+    docs = documents(spark, folder)
+    out_of = id_remainder(5) == 0
+    names, table = mixture.learn(docs.where(~out_of))
+    found = mixture.predict(docs.select("doc_id", "text"), names, table)
+    return found.select("doc_id", out_of.alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query
+def op7_zstd_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every text."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = zstd_quality.score(docs, zstd_quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    return scored.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
