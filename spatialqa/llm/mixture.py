@@ -21,7 +21,7 @@ BUCKETS, SMOOTH, ROUNDS = 1 << 16, 0.5, 8
 #: A further language must raise the log-likelihood by this many times log(trigrams) / 2; trigrams overlap, so more than 1.
 PENALTY = 6.0
 #: Languages whose counts a task holds before it hands them on, and likelihoods it computes at once.
-HELD, AT_ONCE = 32, 4_000_000
+HELD, AT_ONCE = 32, 800_000
 UNKNOWN = "und"
 HAS_LETTER = re.compile(r"[^\W\d_]")
 K = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))

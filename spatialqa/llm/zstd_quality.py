@@ -1,7 +1,8 @@
 """Quality scores from compression.
 
-Two zstandard dictionaries are built, from good and from bad labelled texts. A text is
-compressed with either; the difference of the sizes, divided by the length of the text,
+Two zstandard dictionaries are built, from good and from bad labelled texts. The whole text
+is compressed with either, in short blocks so that what a text repeats doesn't hide what
+the dictionaries know; the difference of the sizes, divided by the length of the text,
 becomes a probability by a logistic curve fitted on other labelled texts.
 """
 from __future__ import annotations
@@ -16,6 +17,8 @@ from spatialqa.llm.common import add_columns, fields, id_remainder
 
 #: Labelled texts of each class for a dictionary, its bytes, the compression level, and labelled texts for the curve.
 SAMPLE, DICTIONARY, LEVEL, CURVE = 400, 1 << 16, 3, 4000
+#: Bytes that are compressed on their own, and of the pieces that a dictionary is trained on.
+BLOCK = 256
 
 
 class Model(NamedTuple):
@@ -25,27 +28,30 @@ class Model(NamedTuple):
     offset: float
 
 
+def blocks(data: bytes) -> list[bytes]:
+    return [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
+
+
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary; the texts themselves where they are too few or too short to train one."""
+    """A trained dictionary; the pieces themselves where they are too few, or training finds too little."""
     import zstandard
+    pieces = [piece for text in texts for piece in blocks(text)]
     try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
+        trained = zstandard.train_dictionary(size, pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(texts)[-size:]
+        trained = b""
+    return trained if len(trained) > size // 2 else b"".join(pieces[::max(1, len(pieces) * BLOCK // size)])[:size]
 
 
 def difference(good: bytes, bad: bytes) -> Callable[[str | None], float]:
     """Bytes saved by the good dictionary over the bad one, for each byte of the text; 0 for an empty text."""
     import zstandard
-    both = []
-    for data in (bad, good):
-        d = zstandard.ZstdCompressionDict(data)
-        d.precompute_compress(level=LEVEL)
-        both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d).compress)
+    bare = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+    by_bad, by_good = (zstandard.ZstdCompressor(compression_params=bare, dict_data=zstandard.ZstdCompressionDict(d)).compress for d in (bad, good))
 
     def one(text: str | None) -> float:
         data = (text or "").encode("utf-8", "replace")
-        return (len(both[0](data)) - len(both[1](data))) / len(data) if data else 0.0
+        return sum(len(by_bad(x)) - len(by_good(x)) for x in blocks(data)) / len(data) if data else 0.0
     return one
 
 
