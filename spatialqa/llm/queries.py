@@ -5,7 +5,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spatialqa.llm import bpe, hamming, mixture, ogg, packing, subspace, superkmers, zstd_quality
+from spatialqa.llm import bpe, edits, hamming, licenses, mixture, ogg, packing, subspace, superkmers, zstd_quality
 from spatialqa.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,17 @@ def op7_zstd_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     scored = zstd_quality.score(docs, zstd_quality.learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
     return scored.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.license_scan(documents(spark, folder))
+
+
+@query
+def op5_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document before and after edits drawn from its text."""
+    docs = documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = edits.count_edits(docs.withColumn("edits", edits.revisions()), tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_before", "n_after", "n_edits", "chars_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
