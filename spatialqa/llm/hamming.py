@@ -81,16 +81,17 @@ def keys(sig: Column) -> Column:
     return F.array(*out)
 
 
+def _fold(by: int):
+    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, by))
+
+
 def distance(a: str, b: str) -> Column:
     """Symbols in which two signatures differ."""
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        x = F.col(f"{a}.sig")[c].bitwiseXOR(F.col(f"{b}.sig")[c])
-        x = x.bitwiseOR(F.shiftright(x, 6))
-        x = x.bitwiseOR(F.shiftright(x, 3))
-        x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(LOW)))
-    return total
+    x = F.zip_with(f"{a}.sig", f"{b}.sig", lambda p, q: p.bitwiseXOR(q))
+    for shift in (6, 3):  # the bits of a symbol gather in its lowest three
+        x = F.transform(x, _fold(shift))
+    x = F.transform(x, lambda v: F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(LOW))))
+    return F.aggregate(x, F.lit(0), lambda total, v: total + v)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
