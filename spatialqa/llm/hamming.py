@@ -11,9 +11,10 @@ import hashlib
 from typing import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spatialqa.llm.common import fields, flat_map, materialize, squeezed, text_of
+from spatialqa.llm.common import Writer, fields, flat_map, materialize, slices, squeezed, text_of
 from spatialqa.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -22,6 +23,8 @@ CHUNKS, SYMBOLS, BITS = 13, 5, 12
 #: each symbol differs with probability 0.15: more than 25 of 65 do in one pair of about a million.
 DISTANCE = 2 * CHUNKS - 1
 LOW = sum(1 << (BITS * i) for i in range(SYMBOLS))
+#: Documents of one block; two blocks and their sets meet in one task.
+BLOCK = 400
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, CHUNKS * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = np.random.default_rng(4051).integers(0, 1 << 63, CHUNKS * SYMBOLS, np.uint64)
@@ -81,17 +84,79 @@ def keys(sig: Column) -> Column:
     return F.array(*out)
 
 
-def _fold(by: int):
-    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, by))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols in which the signatures (rows) of ``a`` and ``b`` differ."""
+    total = np.zeros((len(a), len(b)), np.uint8)
+    for c in range(CHUNKS):
+        x = a[:, c, None] ^ b[None, :, c]
+        x |= x >> np.uint64(6)
+        x |= x >> np.uint64(3)  # the bits of a symbol gather in its lowest three
+        total += np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2)) & np.uint64(LOW))
+    return total
+
 
+def joining_links(rows: DataFrame) -> DataFrame:
+    """Links that join parts within each pair of blocks; ``rows`` (grp, i, j, block, rep, part, sig, found) comes sorted.
 
-def distance(a: str, b: str) -> Column:
-    """Symbols in which two signatures differ."""
-    x = F.zip_with(f"{a}.sig", f"{b}.sig", lambda p, q: p.bitwiseXOR(q))
-    for shift in (6, 3):  # the bits of a symbol gather in its lowest three
-        x = F.transform(x, _fold(shift))
-    x = F.transform(x, lambda v: F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseAND(F.lit(LOW))))
-    return F.aggregate(x, F.lit(0), lambda total, v: total + v)
+    Every pair within the distance is looked at, the nearest first; one whose ends are
+    joined already needs no look at its sets.
+    """
+    schema = fields("a long,b long")
+
+    def linked(members: list[tuple]) -> Iterator[tuple]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        low = min(m[0] for m in members)
+        left = [m for m in members if m[0] == low]
+        right = [m for m in members if m[0] != low] or left
+        sig = lambda side: np.array([m[3] for m in side], np.int64).view(np.uint64)
+        far = distances(sig(left), sig(right))
+        i, j = np.nonzero(far <= DISTANCE)
+        if left is right:
+            once = i < j
+            i, j = i[once], j[once]
+        part = [np.array([m[2] for m in side]) for side in (left, right)]
+        across = part[0][i] != part[1][j]
+        i, j = i[across], j[across]
+        order = np.argsort(far[i, j], kind="stable")
+        found: dict[int, set] = {}
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            (_, a, p, _, s), (_, b, q, _, t) = left[x], right[y]
+            small, large = sorted((len(s), len(t)))
+            if 100 * small < PERCENT * large or root(p) == root(q):
+                continue
+            for rep, values in ((a, s), (b, t)):
+                if rep not in found:
+                    found[rep] = set(values)
+            shared = len(found[a] & found[b])
+            if 100 * shared >= PERCENT * (small + large - shared):
+                above[max(root(p), root(q))] = min(root(p), root(q))
+                yield min(a, b), max(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, group, members = Writer(schema), None, []
+        for batch in batches:
+            for piece in slices(batch):
+                for grp, i, j, *rest in zip(*[c.to_pylist() for c in piece.columns]):
+                    if (grp, i, j) != group:
+                        for pair in linked(members) if members else ():
+                            if (full := out.add(pair)) is not None:
+                                yield full
+                        group, members = (grp, i, j), []
+                    members.append(tuple(rest))
+        for pair in linked(members) if members else ():
+            if (full := out.add(pair)) is not None:
+                yield full
+        if (rest_ := out.rest()) is not None:
+            yield rest_
+
+    return rows.mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -130,16 +195,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Each document with the smallest one it shares a key with: settles most groups with one pair a document.
     stars = members.where("rep > lo").groupBy("rep").agg(F.min("lo").alias("a")).select("a", F.col("rep").alias("b"))
     links = materialize(confirmed(stars, sets))
-    # All pairs that share a key across what is connected so far.
-    groups = components(links)
-    placed = members.join(groups, members.rep == groups.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    open_ = materialize(placed.join(mixed, "key").join(reps.select("rep", "n", "sig"), "rep"))
-    a, b = open_.alias("a"), open_.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
-    pairs = (a.join(b, near & (distance("a", "b") <= DISTANCE))
-             .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(pairs, sets))
+    # What shares keys, directly or through others, and isn't one component yet: all its pairs within the distance, block by block.
+    groups = components(members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct())
+    parts = components(links).select(F.col("id").alias("rep"), F.col("component").alias("part"))
+    placed = groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    open_ = (placed.groupBy("grp").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
+             .select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    dealt = (placed.join(open_, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+             .select("grp", "rep", "part", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    pairs = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part")
+    rows = pairs.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    sorted_ = rows.select("grp", "i", "j", "block", "rep", "part", "sig", "found").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "rep")
+    links = links.unionByName(joining_links(sorted_))
     found = components(links)
     classes = reps.join(found, reps.rep == found.id, "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("c"))
     out = signed.join(classes, signed.print == classes.p, "left")
