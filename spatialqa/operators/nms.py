@@ -2,11 +2,13 @@
 
 Greedy suppression keeps a row when no better kept row of its group overlaps it. The
 same answer comes from rounds in which every row that has no live better neighbour is
-kept and its neighbours are dropped. To bound the work in crowded places only the best
-``WIDTH`` live rows of each grid cell take part in a round: any better neighbour of such
-a row shares a cell with it and is in that cell's list too. So a cell never yields more
+kept and its neighbours are dropped. To bound the work in crowded places a grid cell lists
+only the best ``WIDTH`` live rows that lie on its level: any better neighbour of the same
+level shares a cell with a listed row and is in that list too. So a cell never yields more
 than ``WIDTH**2`` pairs, and rows further down wait for the next round, when most of them
-have been dropped. Exact copies of a box collapse beforehand.
+have been dropped. Smaller boxes are guests of coarser cells: they meet the listed boxes
+there, not each other, and wait only where a list ends before them, so a huge box doesn't
+hold up the boxes under it. Exact copies of a box collapse beforehand.
 """
 from __future__ import annotations
 
@@ -22,13 +24,17 @@ from spatialqa.session import materialize
 WIDTH = 256
 
 
-def _edges(listed: DataFrame, keys: list[str], clash: Callable[[Box, Box], Column]) -> DataFrame:
-    """(loser, winner, winner fully listed) among rows listed in the same cell."""
+def _edges(listed: DataFrame, guests: DataFrame | None, ready: DataFrame, keys: list[str], clash: Callable[[Box, Box], Column]) -> DataFrame:
+    """(loser, winner, winner surely sees all its better neighbours) among listed rows of a cell and between them and guests."""
     grid = [*keys, "_lv", "_cx", "_cy"]
-    side = lambda s: listed.select(*grid, *(F.col(c).alias(f"{c}_{s}") for c in ["_id", "_ord", "_full", *"xywh"]))
-    pairs = side("a").join(side("b"), grid).filter((F.col("_ord_b") < F.col("_ord_a")) & clash(suffixed("a"), suffixed("b")))
-    return (pairs.groupBy(F.col("_id_a").alias("loser"), F.col("_id_b").alias("winner"))
-            .agg(F.first("_full_b").alias("full")))
+    side = lambda df, s: df.select(*grid, *(F.col(c).alias(f"{c}_{s}") for c in ["_id", "_ord", *"xywh"]))
+    meets = clash(suffixed("a"), suffixed("b"))
+    pairs = side(listed, "a").join(side(listed, "b"), grid).filter((F.col("_ord_b") < F.col("_ord_a")) & meets).select(F.col("_id_a").alias("loser"), F.col("_id_b").alias("winner"))
+    if guests is not None:
+        mixed = side(guests, "a").join(side(listed, "b"), grid).filter(meets)
+        worse = F.col("_ord_b") < F.col("_ord_a")
+        pairs = pairs.unionByName(mixed.select(F.when(worse, F.col("_id_a")).otherwise(F.col("_id_b")).alias("loser"), F.when(worse, F.col("_id_b")).otherwise(F.col("_id_a")).alias("winner")))
+    return pairs.distinct().join(ready.select(F.col("_id").alias("winner"), F.lit(True).alias("full")), "winner", "left").withColumn("full", F.coalesce("full", F.lit(False)))
 
 
 def _beaten(edges: DataFrame) -> DataFrame:
@@ -45,19 +51,25 @@ def independent_rows(df: DataFrame, keys: list[str], order: list[Column], ident:
     ``order`` must be total. ``clash`` says when two overlapping boxes exclude each other.
     """
     rank = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))
-    live = df.select(*keys, F.col(ident).alias("_id"), rank.alias("_ord"), *"xywh")
+    live = materialize(df.select(*keys, F.col(ident).alias("_id"), rank.alias("_ord"), *"xywh"))
     shape = grid or grid_for([live])
     cell, levels = shape
     grid = [*keys, "_lv", "_cx", "_cy"]
     kept: DataFrame | None = None
     while True:
-        cells = on_cells(live.withColumn("_cells", cell_count(cell, levels)), cell, levels).drop("_own")
-        listed = top_k(cells, grid, [F.col("_ord")], width, rank="_place")
+        cells = on_cells(live, cell, levels)
+        own = cells.filter("_lv = _own").drop("_own").withColumn("_cells", cell_count(cell, levels))
+        listed = top_k(own, grid, [F.col("_ord")], width, rank="_place")
         # A row may be kept this round only if every one of its cells lists it.
         seen = Window.partitionBy("_id")
         listed = materialize(listed.withColumn("_full", F.count(F.lit(1)).over(seen) == F.col("_cells")).drop("_cells"))
-        ready = listed.filter("_full").select("_id").distinct()
-        edges = materialize(_edges(listed, keys, clash))
+        ready, guests = listed.filter("_full").select("_id").distinct(), None
+        if levels:
+            guests = cells.filter("_lv > _own").drop("_own")
+            ends = listed.filter(F.col("_place") >= width).groupBy(*grid).agg(F.max("_ord").alias("_end"))
+            blind = guests.join(ends, grid).filter(F.col("_ord") > F.col("_end")).select("_id").distinct()
+            ready = materialize(ready.join(blind, "_id", "left_anti"))
+        edges = materialize(_edges(listed, guests, ready, keys, clash))
         count, lost = edges.count(), []
         while count:
             beaten = _beaten(edges)

@@ -28,7 +28,7 @@ class Grid(NamedTuple):
 
 
 def grid_for(frames: list[DataFrame], cell: int | None = None) -> Grid:
-    """Grid fitted to the boxes: cells of about three quarters of the mean box side.
+    """Grid fitted to the boxes: cells of about three quarters of the median box side, which a few huge boxes don't move.
 
     One small aggregate over box sides. Levels above 0 exist only when some box is far
     larger than a cell.
@@ -38,10 +38,10 @@ def grid_for(frames: list[DataFrame], cell: int | None = None) -> Grid:
     union = sides[0]
     for other in sides[1:]:
         union = union.unionAll(other)
-    row = union.agg(F.avg("s").alias("mean"), F.max("s").alias("top")).first()
-    if row["mean"] is None:
+    row = union.agg(F.percentile_approx("s", 0.5).alias("middle"), F.max("s").alias("top")).first()
+    if row["middle"] is None:
         return Grid(cell or CELL, 0)
-    cell = cell or max(16, 16 * round(row["mean"] * 0.75 / 16))
+    cell = cell or max(16, 16 * round(row["middle"] * 0.75 / 16))
     reach = cell * (MAX_CELLS ** 0.5 - 1)
     levels = max(0, math.ceil(math.log(max(row["top"], 1.0) / reach, GROWTH) - 1e-9))
     return Grid(cell, levels)
@@ -63,16 +63,21 @@ def on_cells(df: DataFrame, cell: int = CELL, levels: int = 0) -> DataFrame:
 
 
 def cell_count(cell: int = CELL, levels: int = 0) -> Column:
-    """Number of rows ``on_cells`` makes of a box."""
+    """Number of cells a box touches on its own level."""
     box = Box.of()
-    def span(size: Column) -> Column:
-        axis = lambda lo, hi: F.floor((hi - 1) / size) - F.floor(lo / size) + 1
-        return (axis(box.x, box.right) * axis(box.y, box.bottom)).cast("bigint")
-    if not levels:
-        return span(F.lit(cell).cast("bigint"))
-    sizes = F.sequence(_level(box, cell), F.lit(levels))
-    return F.aggregate(sizes, F.lit(0).cast("bigint"),
-                       lambda total, lv: total + span((F.lit(cell) * F.pow(F.lit(GROWTH), lv)).cast("bigint")))
+    level = _level(box, cell) if levels else F.lit(0)
+    size = (F.lit(cell) * F.pow(F.lit(GROWTH), level)).cast("bigint")
+    axis = lambda lo, hi: F.floor((hi - 1) / size) - F.floor(lo / size) + 1
+    return (axis(box.x, box.right) * axis(box.y, box.bottom)).cast("bigint")
+
+
+def _meeting(cells: DataFrame, guest: int) -> DataFrame:
+    """Kinds of meetings a row takes part in: 0 both lie on this level, 1 side b is the guest, 2 side a is.
+
+    ``guest`` is the kind in which this side is the guest.
+    """
+    host = F.array(F.lit(0), F.lit(3 - guest))
+    return cells.withColumn("_kind", F.explode(F.when(F.col("_lv") == F.col("_own"), host).otherwise(F.array(F.lit(guest)))))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], condition: Column | None = None, *,
@@ -80,19 +85,24 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], condition: Column
     """Pairs of overlapping boxes with equal ``keys``; columns end in ``_a`` and ``_b``.
 
     Both inputs carry ``x, y, w, h``. Every pair is produced once, in the cell holding
-    the top-left corner of the intersection. Boxes far larger than a cell move to a
-    coarser grid. A cell holding more than ``hot`` rows is split: side ``a`` is dealt
-    out over salts, side ``b`` is repeated for each of them. ``condition`` may refer to
-    the suffixed columns and is applied inside the join.
+    the top-left corner of the intersection. Boxes far larger than a cell lie on a
+    coarser grid, where smaller ones are guests: guests meet the boxes that lie there,
+    never each other, so one huge box adds about one candidate for each box under it. A
+    cell holding more than ``hot`` rows is split: one side is dealt out over salts, the
+    other is repeated for each of them (plan only). ``condition`` may refer to the
+    suffixed columns and is applied inside the join. The result lists every pair of a
+    crowd; that is its purpose.
     """
     cell, levels = grid or grid_for([a, b], cell)
-    grid = [*keys, "_lv", "_cx", "_cy"]
-    left, right = on_cells(a, cell, levels), on_cells(b, cell, levels)
-    crowded = (left.groupBy(*grid).count().filter(F.col("count") > hot)
-               .select(*grid, F.ceil(F.col("count") / hot).cast("int").alias("_parts")))
+    grid = [*keys, "_lv", "_cx", "_cy", "_kind"]
+    left, right = _meeting(on_cells(a, cell, levels), 2), _meeting(on_cells(b, cell, levels), 1)
+    # Of each meeting the side that may hold many rows is dealt out: guests, else side a.
+    counts = (left.filter("_kind <> 1").groupBy(*grid).count()).unionByName(right.filter("_kind = 1").groupBy(*grid).count())
+    crowded = counts.filter(F.col("count") > hot).select(*grid, F.ceil(F.col("count") / hot).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-    left = left.join(crowded, grid, "left").withColumn("_salt", F.pmod(F.xxhash64(*a.columns), parts).cast("int")).drop("_parts")
-    right = right.join(crowded, grid, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    one, every = (lambda columns: F.array(F.pmod(F.xxhash64(*columns), parts).cast("int"))), F.sequence(F.lit(0), parts - 1)
+    left = left.join(crowded, grid, "left").withColumn("_salt", F.explode(F.when(F.col("_kind") == 1, every).otherwise(one(a.columns)))).drop("_parts")
+    right = right.join(crowded, grid, "left").withColumn("_salt", F.explode(F.when(F.col("_kind") == 1, one(b.columns)).otherwise(every))).drop("_parts")
     grid = [*grid, "_salt"]
     left = left.select(*grid, *(F.col(c).alias(f"{c}_a") for c in [*a.columns, "_own"] if c not in keys))
     right = right.select(*grid, *(F.col(c).alias(f"{c}_b") for c in [*b.columns, "_own"] if c not in keys))
@@ -105,7 +115,7 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], condition: Column
     test = overlaps(ba, bb) & home
     if condition is not None:
         test = test & condition
-    return left.join(right, grid).filter(test).drop("_lv", "_cx", "_cy", "_salt", "_own_a", "_own_b")
+    return left.join(right, grid).filter(test).drop("_lv", "_cx", "_cy", "_kind", "_salt", "_own_a", "_own_b")
 
 
 def suffixed(side: str) -> Box:

@@ -156,3 +156,43 @@ def test_ids_fill_free_numbers(spark):
     used = spark.createDataFrame([(1, "stone_lamp_001"), (1, "stone_lamp_003"), (1, "stone_lamp_004"), (1, "tree_002")], "scene_id long, object_id string")
     out = [r.object_id for r in assign_ids(new, used).orderBy("seq").collect()]
     assert out == [f"stone_lamp_{n:03d}" for n in (2, 5, 6, 7, 8, 9)]
+
+
+def mixed_boxes(spark):
+    """Small boxes in a lattice, a few middle ones, and one huge box, in one scene."""
+    import random
+    r = random.Random(11)
+    rows = [(1, "c", i, 0.5 + r.random() / 2, 40 * (i % 60), 40 * (i // 60), r.randint(10, 50), r.randint(10, 50)) for i in range(1500)]
+    rows += [(1, "c", 2000 + i, r.random(), r.randint(0, 2000), r.randint(0, 900), 300, 400) for i in range(12)]
+    rows += [(1, "c", 3000, 0.01, 0, 0, 10 ** 6, 10 ** 6)]
+    return rows, spark.createDataFrame(rows, "scene_id long, category string, det_id long, confidence double, x long, y long, w long, h long").withColumn("seq", F.col("det_id"))
+
+
+def test_one_huge_box_adds_few_candidates(spark):
+    from spatialqa.operators.overlap import _meeting, grid_for, on_cells
+    rows, df = mixed_boxes(spark)
+
+    def candidates(frame):
+        grid = grid_for([frame])
+        key = ["scene_id", "_lv", "_cx", "_cy", "_kind"]
+        a, b = _meeting(on_cells(frame, *grid), 2).groupBy(*key).count(), _meeting(on_cells(frame, *grid), 1).groupBy(*key).agg(F.count("*").alias("n"))
+        return a.join(b, key).agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+
+    assert candidates(df) - candidates(df.where("det_id <> 3000")) <= 6 * len(rows)
+
+
+def test_nms_of_mixed_sizes_equals_the_loop(spark):
+    from spatialqa.operators.nms import nms
+    rows, df = mixed_boxes(spark)
+
+    def share(p, q):
+        w, h = min(p[4] + p[6], q[4] + q[6]) - max(p[4], q[4]), min(p[5] + p[7], q[5] + q[7]) - max(p[5], q[5])
+        both = max(0, w) * max(0, h)
+        return both / (p[6] * p[7] + q[6] * q[7] - both)
+
+    kept = []
+    for row in sorted(rows, key=lambda row: (-row[3], row[2])):
+        if all(share(row, k) <= 0.1 for k in kept):
+            kept.append(row)
+    for width in (256, 8):
+        assert {r.det_id for r in nms(df, 0.1, width=width).collect()} == {k[2] for k in kept}
