@@ -34,18 +34,26 @@ def prediction_inventory(detected: DataFrame, final: DataFrame, terrain: DataFra
     return out if terrain is None else out.unionByName(terrain, allowMissingColumns=True)
 
 
-def select_predictions(predictions: DataFrame, annotations: DataFrame, ignore: DataFrame, ident: str = "pred_id") -> tuple[DataFrame, DataFrame]:
+def select_predictions(predictions: DataFrame, annotations: DataFrame, ignore: DataFrame, ident: str = "pred_id",
+                       gt: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored, ignored) predictions.
 
-    Category listed, not terrain, centre inside the half-open region; boxes are clipped to
+    Category listed (an empty or null list means the categories that ``gt`` annotates in the
+    scene, or any without ``gt``), not terrain, centre inside the half-open region; boxes are clipped to
     it. At least half inside one ignore region means ignored.
     ``annotations(scene_id, rx0, ry0, rx1, ry1, categories)``; ``ignore(scene_id, x, y, w, h)``.
     """
     joined = predictions.join(annotations.select("scene_id", "rx0", "ry0", "rx1", "ry1", "categories"), "scene_id")
+    unlisted = F.coalesce(F.size("categories"), F.lit(0)) <= 0
+    known = F.lit(True)
+    if gt is not None:
+        joined = joined.join(gt.select("scene_id", "category", F.lit(True).alias("_known")).distinct(), ["scene_id", "category"], "left")
+        known = F.col("_known").isNotNull()
+    wanted = F.when(unlisted, known).otherwise(F.array_contains("categories", F.col("category")))
     cx, cy = Box.of().centre
     kind = F.coalesce(F.col("kind"), F.lit("")) if "kind" in predictions.columns else F.lit("")
     inside = (cx >= F.col("rx0")) & (cx < F.col("rx1")) & (cy >= F.col("ry0")) & (cy < F.col("ry1"))
-    listed = joined.filter(F.array_contains("categories", F.col("category")) & (kind != "terrain") & inside)
+    listed = joined.filter(wanted & (kind != "terrain") & inside)
     clipped = Box.of().clip(F.col("rx0"), F.col("ry0"), F.col("rx1"), F.col("ry1"))
     rest = [c for c in predictions.columns if c not in ("x", "y", "w", "h")]
     listed = listed.select(*rest, *(v.cast("bigint").alias(n) for n, v in zip("xywh", clipped)))

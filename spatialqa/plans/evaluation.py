@@ -36,7 +36,7 @@ def evaluate_scenes(predictions: DataFrame, annotations: DataFrame, ignore: Data
     ``scores`` per scene, ``corpus``, ``by_size``. The selected predictions are written once
     and shared by matching and fragmentation.
     """
-    scored, ignored = E.select_predictions(predictions, annotations, ignore)
+    scored, ignored = E.select_predictions(predictions, annotations, ignore, gt=gt)
     scored, gt = materialize(scored), materialize(gt)
     grid = grid_for([scored, gt])
     matches, outcomes = E.match_gt(scored, gt, config.iou_threshold, grid=grid)

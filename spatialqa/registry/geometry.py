@@ -225,7 +225,7 @@ def layer_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PROMPT_SQL = "(case " + " ".join(
-    f"when category in ({', '.join(repr(n) for n in names.split())}) then {i}" for i, names in enumerate(taxonomy.PROMPT_GROUPS.values())) + " else 5 end)"
+    f"when category in ({', '.join(repr(n) for n in names)}) then {i}" for i, names in enumerate(taxonomy.PROMPT_GROUPS.values())) + " else 5 end)"
 PROMPT_NAMES_SQL = "[" + ", ".join(f"'{g}'" for g in taxonomy.PROMPT_GROUPS) + "]"
 
 

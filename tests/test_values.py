@@ -254,3 +254,13 @@ def test_unfinished_scenes(spark):
     rows = [(1, 1, .5, 3), (2, 1, .9, 3), (3, 1, .1, 0), (3, 2, .1, 0)]
     df = spark.createDataFrame(rows, "scene_id long, round long, coverage double, new_accepted long")
     assert [r.scene_id for r in unfinished_scenes(df).collect()] == [1]
+
+
+def test_empty_category_list_means_the_annotated_ones(spark):
+    from spatialqa.operators.evaluate import select_predictions
+    preds = spark.createDataFrame([(1, 1, "tree", 0, 0, 4, 4), (1, 2, "rock", 0, 0, 4, 4), (2, 3, "rock", 0, 0, 4, 4)], "scene_id long, pred_id long, category string, x long, y long, w long, h long")
+    notes = spark.createDataFrame([(1, 0, 0, 9, 9, []), (2, 0, 0, 9, 9, ["tree"])], "scene_id long, rx0 long, ry0 long, rx1 long, ry1 long, categories array<string>")
+    gt = spark.createDataFrame([(1, "tree"), (2, "rock")], "scene_id long, category string")
+    none = spark.createDataFrame([], "scene_id long, x long, y long, w long, h long")
+    ids = lambda **more: {r.pred_id for r in select_predictions(preds, notes, none, **more)[0].collect()}
+    assert ids() == {1, 2} and ids(gt=gt) == {1}
