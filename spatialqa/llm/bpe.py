@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 
 from spatialqa.llm.common import add_columns, fields
-from spatialqa.llm.tokens import BYTE_PIECES, PLAIN, Cached, byte_letters, library, merger, packed
+from spatialqa.llm.tokens import BYTE_PIECES, CACHE, PLAIN, Cached, byte_letters, library, merger, packed
 
 SPECIAL = "<|endoftext|>"
 
@@ -53,9 +53,9 @@ class Encoder:
         _, self.pairs, self.byte_of = vocabulary(path)
         merge = merger(path, False)
         self.special = packed([self.tokenizer.token_to_id(SPECIAL)]) if self.tokenizer.token_to_id(SPECIAL) is not None else None
-        self.fragments = Cached(lambda x: packed(merge(x)))
-        self.pieces = Cached(lambda x: self.encode_piece(x.encode()))
-        self.letters = Cached(lambda x: self.encode_piece(bytes(self.byte_of[c] for c in x)))
+        self.fragments = Cached(lambda x: packed(merge(x)), CACHE // 4)
+        self.pieces = Cached(lambda x: self.encode_piece(x.encode()), CACHE // 2)
+        self.letters = Cached(lambda x: self.encode_piece(bytes(self.byte_of[c] for c in x)), CACHE // 4)
 
     def encode_piece(self, piece: bytes) -> bytes:
         parts = forced_cuts(piece, self.pairs)
