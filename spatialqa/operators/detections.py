@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spatialqa.functions import taxonomy
 from spatialqa.functions.boxes import Box, expand, iou, pair_geometry, restore_box, truncated_edges
 from spatialqa.operators.nms import independent_rows
-from spatialqa.operators.ordered import BLOCK, first_per, running, top_k
+from spatialqa.operators.ordered import first_per, running, top_k
 from spatialqa.operators.overlap import overlap_join, suffixed
 
 

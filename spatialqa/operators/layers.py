@@ -64,7 +64,7 @@ def _numbered(df: DataFrame, scene: str, position: bool) -> DataFrame:
         return df
     # A global range sort numbers the rows whatever the size of one scene.
     rows = materialize(df.orderBy(scene, "paint_order").withColumn("_at", F.monotonically_increasing_id()))
-    return running(rows, [scene], "_at", {"position": ("count", F.lit(1))}, exclusive=["position"], block=1 << 33).drop("_at")
+    return running(rows, [scene], "_at", {"position": ("count", F.lit(1))}, exclusive=["position"]).drop("_at")
 
 
 def _places(nodes: DataFrame, arcs: DataFrame, scene: str) -> tuple[DataFrame, DataFrame]:

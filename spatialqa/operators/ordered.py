@@ -5,7 +5,7 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 1 << 16
+CUTS = 128  # blocks of a key, about equal in rows
 SALTS = 32
 NATIVE_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -36,16 +36,19 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 
 def running(df: DataFrame, keys: list[str], order: str, aggs: dict[str, tuple[str, Column]],
-            exclusive: Iterable[str] = (), block: int = BLOCK) -> DataFrame:
+            exclusive: Iterable[str] = (), cuts: int = CUTS) -> DataFrame:
     """Running ``sum`` / ``count`` / ``max`` per key along an integer ``order`` column.
 
-    The order is cut into blocks; windows run per (key, block) and each block adds the
-    combined total of the blocks before it. No task ever sorts a whole hot key.
+    Approximate quantiles of the order cut each key into at most ``cuts`` blocks, however its
+    values are spread; windows run per (key, block) and each block adds the combined total of
+    the blocks before it. A task sorts one block of a hot key, never the whole of it.
     ``exclusive`` names results that leave out the current row (sum starts at 0).
     """
     kinds = {"sum": F.sum, "count": F.count, "max": F.max}
     exclusive = set(exclusive)
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 16 * cuts).alias("_bounds"))
+    bounds = bounds.withColumn("_bounds", F.array_distinct("_bounds"))
+    cut = df.join(bounds, keys).withColumn("_block", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
     for name, (kind, expr) in aggs.items():
         cut = cut.withColumn(f"_in_{name}", expr)
     totals = cut.groupBy(*keys, "_block").agg(

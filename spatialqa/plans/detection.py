@@ -52,7 +52,8 @@ def run_detection(raw: DataFrame, allowed: list[str], scene_area: Column, childr
 
     ``raw`` as for ``split_observations`` plus ``scene_id, det_id, seq, source, appearance``;
     ``children`` are re-observations of truncated entities (same columns plus ``parent_id``).
-    The second fusion runs only when a child matched its parent.
+    The second fusion runs only when a child matched its parent. Parents are re-observed in
+    the order in which the fold first kept them: complete rows first, then by confidence.
     """
     valid, invalid = D.split_observations(raw, allowed, config.edge)
     valid = materialize(valid)
@@ -60,7 +61,8 @@ def run_detection(raw: DataFrame, allowed: list[str], scene_area: Column, childr
     observed, log = valid, None
     if children is not None:
         kids, bad = D.split_observations(children, allowed, config.edge)
-        cut = entities.filter("is_truncated").withColumn("seq", F.col("slot_id"))
+        place = valid.select(F.col("det_id").alias("slot_id"), F.struct("is_truncated", (-F.col("confidence")).alias("less"), "seq").alias("seq"))
+        cut = entities.filter("is_truncated").join(place, "slot_id")
         kids, log = D.match_redetections(kids, cut, maximum=config.redetections, overlap=config.rules.overlap)
         kids = materialize(kids)
         good = kids.filter("matched").drop("matched", "reason")

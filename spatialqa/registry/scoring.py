@@ -162,20 +162,79 @@ def semantic(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(E.mask_quality(*E.semantic_regions(regions, rect_runs(frames), runs(spark, folder))).select("scene_id", "gt_id", "iou", "completeness"))
 
 
+_SHARED = "(greatest(0,least(k.x+k.w,c.x+c.w)-greatest(k.x,c.x))*greatest(0,least(k.y+k.h,c.y+c.h)-greatest(k.y,c.y)))::double"
+_SMALL, _LARGE = "least(k.w*k.h,c.w*c.h)", "greatest(k.w*k.h,c.w*c.h)"
+_AWAY = ("(sqrt(pow((k.x+k.w/2.0::double)-(c.x+c.w/2.0::double),2)+pow((k.y+k.h/2.0::double)-(c.y+c.h/2.0::double),2))"
+         "/greatest(1,least(sqrt((k.w*k.w+k.h*k.h)::double),sqrt((c.w*c.w+c.h*c.h)::double))))")
+_LEADING = "(list_contains({0}.edges,'left') or list_contains({0}.edges,'top'))"
+
+#: Whether a kept row ``k`` and a new one ``c`` are one object.
+SAME_SQL = f"""({_SHARED} > 0 and (
+  coalesce(k.parent = c.id or list_contains(k.ids, c.parent), false) and {_SHARED}/{_SMALL} >= 0.7 and {_AWAY} <= 1.25 and {_SMALL}/{_LARGE}::double >= 0.1
+  or {_SHARED}/(k.w*k.h+c.w*c.h-{_SHARED}) >= 0.45 and {_AWAY} <= 0.65 and {_SMALL}/{_LARGE}::double >= 0.35
+  or {_SHARED}/{_SMALL} >= 0.7 and {_AWAY} <= 0.65 and {_SMALL}/{_LARGE}::double >= 0.5
+  or k.win <> c.win and (k.cut or c.cut) and {_SHARED}/{_SMALL} >= 0.7 and {_AWAY} <= 1.25 and (not k.cut or not c.cut or {_LEADING.format('k')} <> {_LEADING.format('c')}) and k.look = c.look))"""
+
+#: Whether the new row becomes the kept one.
+TAKEN_SQL = """(case when k.cut <> c.cut then k.cut when k.conf <> c.conf then c.conf > k.conf else c.w*c.h > k.w*k.h end)"""
+_BEST = """(case when len(list_filter(k.best, lambda b: b.win = c.win)) = 0 then list_concat(k.best, c.best)
+  else list_transform(k.best, lambda b: case when b.win = c.win then {'win': b.win, 'conf': greatest(b.conf, c.conf)} else b end) end)"""
+_SCORES = f"list_transform({_BEST}, lambda b: b.conf)"
+
+
+def _either(hull: str, field: str) -> str:
+    return f"case when k.cut and c.cut then {hull} when {TAKEN_SQL} then c.{field} else k.{field} end"
+
+
+#: The kept row after it took the new one.
+MERGED_SQL = f"""{{'id': case when {TAKEN_SQL} then c.id else k.id end, 'slot': k.slot, 'conf': least(0.99::double, list_max({_SCORES}) + 0.15::double*(list_sum({_SCORES})-list_max({_SCORES}))),
+  'x': {_either('least(k.x,c.x)', 'x')}, 'y': {_either('least(k.y,c.y)', 'y')},
+  'w': {_either('greatest(k.x+k.w,c.x+c.w)-least(k.x,c.x)', 'w')}, 'h': {_either('greatest(k.y+k.h,c.y+c.h)-least(k.y,c.y)', 'h')},
+  'win': case when {TAKEN_SQL} then c.win else k.win end, 'cut': case when {TAKEN_SQL} then c.cut else k.cut end,
+  'edges': {_either('list_distinct(list_concat(k.edges,c.edges))', 'edges')}, 'look': case when {TAKEN_SQL} then c.look else k.look end,
+  'parent': coalesce(k.parent, c.parent), 'ids': list_concat(k.ids, c.ids), 'best': {_BEST}, 'n': k.n + c.n}}"""
+
+# The fold, one row of each scene and category per step; ``kept`` is the state before the row, ``hit`` the place it joins.
+FUSE_SQL = f"""with recursive seen as (select *, list_filter([case when wx0>0 and x-wx0<=12 then 'left' end, case when wy0>0 and y-wy0<=12 then 'top' end,
+    case when wx1<1800 and wx1-(x+w)<=12 then 'right' end, case when wy1<1200 and wy1-(y+h)<=12 then 'bottom' end], lambda e: e is not null) as edges from fx_detections),
+rows_ as (select scene_id, category, row_number() over (partition by scene_id, category order by len(edges)>0, confidence desc, seq) as rn,
+  {{'id': det_id, 'slot': det_id, 'conf': confidence, 'x': x, 'y': y, 'w': w, 'h': h, 'win': [wx0,wy0,wx1,wy1], 'cut': len(edges)>0, 'edges': edges, 'look': mod(det_id//4,3)=0,
+    'parent': case when mod(det_id,10)=3 then det_id-4 end, 'ids': [det_id], 'best': [{{'win': [wx0,wy0,wx1,wy1], 'conf': confidence}}], 'n': 1::bigint}} as c from seen),
+hits as (select scene_id, category, rn, c, list_filter([c], lambda k: false) as kept, null::bigint as hit from rows_ where rn = 1
+  union all
+  select r.scene_id, r.category, r.rn, r.c, t.kept, list_position(list_transform(t.kept, lambda k: {SAME_SQL}), true)::bigint
+  from (select scene_id, category, rn, case when hit is null then list_append(kept, c) else list_transform(kept, lambda k, i: case when i = hit then {MERGED_SQL} else k end) end as kept from hits) t
+  join rows_ r on r.scene_id = t.scene_id and r.category = t.category and r.rn = t.rn + 1),
+steps as (select scene_id, category, rn, c, kept[hit] as k, hit from hits),
+last as (select scene_id, category, case when hit is null then list_append(kept, c) else list_transform(kept, lambda k, i: case when i = hit then {MERGED_SQL} else k end) end as kept
+  from (select *, row_number() over (partition by scene_id, category order by rn desc) as back from hits) t where back = 1),
+entities as (select scene_id, category, unnest(kept) as e from last)
+"""
+
+
 def fusion_input(spark: SparkSession, folder: str) -> DataFrame:
+    """Windowed observations; looks that differ, and some rows that name the one before as their parent."""
     df = view(spark, folder, "fx_detections")
+    i = F.col("det_id")
     window = Box.corners(F.col("wx0"), F.col("wy0"), F.col("wx1"), F.col("wy1"))
-    look = F.array(F.lit(1.0))
-    return df.withColumn("truncated_edges", truncated_edges(Box.of(), window, F.lit(1800), F.lit(1200))).withColumn("is_truncated", F.size("truncated_edges") > 0).withColumn("appearance", look)
+    look = F.when(F.expr("det_id div 4 % 3 = 0"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.5), F.lit(0.5)))
+    edges = truncated_edges(Box.of(), window, F.lit(1800), F.lit(1200))
+    return df.withColumn("truncated_edges", edges).withColumn("is_truncated", F.size("truncated_edges") > 0).withColumn("appearance", look).withColumn("parent_id", F.when(i % 10 == 3, i - 4))
 
 
-@query("fused_candidates")
+@query("fused_candidates", with_views(FUSE_SQL + """select scene_id, category, e.id as entity_id, e.x as x, e.y as y, e.w as w, e.h as h, round(e.conf, 6) as confidence, e.cut as is_truncated,
+  array_to_string(list_sort(e.edges), ',') as edges, len(e.best)::bigint as windows, e.n as members from entities""", "fx_detections"))
 def fused(spark: SparkSession, folder: str) -> DataFrame:
     entities, _ = U.fuse(fusion_input(spark, folder))
-    return tidy(entities.select("scene_id", "category", F.col("det_id").alias("entity_id"), *"xywh", "confidence", "is_truncated", F.concat_ws(",", "truncated_edges").alias("edges"), "windows", "members"))
+    edges = F.concat_ws(",", F.array_sort("truncated_edges")).alias("edges")
+    return tidy(entities.select("scene_id", "category", F.col("det_id").alias("entity_id"), *"xywh", "confidence", "is_truncated", edges, "windows", "members"))
 
 
-@query("fusion_lineage")
+@query("fusion_lineage", with_views(FUSE_SQL + f""",
+lost as (select case when {TAKEN_SQL} then k.id else c.id end as det_id, case when {TAKEN_SQL} then c.id else k.id end as merged_into,
+  case when k.win = c.win then 'duplicate' else 'cross_tile_duplicate' end as reason from steps where hit is not null)
+select s.c.id as det_id, e.id as entity_id, coalesce(s.k.n + 1, 1) as pos, merged_into, reason
+from steps s join entities on e.slot = coalesce(s.k.slot, s.c.slot) left join lost l on l.det_id = s.c.id""", "fx_detections"))
 def lineage(spark: SparkSession, folder: str) -> DataFrame:
     _, members = U.fuse(fusion_input(spark, folder))
     return tidy(members.select("det_id", "entity_id", "pos", "merged_into", "reason"))

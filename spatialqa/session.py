@@ -21,7 +21,7 @@ def local_session(cores: str = "8", app: str = "spatialqa", partitions: int = 8)
     """A session for tests and benches; a cluster brings its own."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(partitions))
-               .config("spark.driver.memory", "16g")
+               .config("spark.driver.memory", "8g")
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false"))
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
