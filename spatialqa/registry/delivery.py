@@ -136,15 +136,15 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("manifest_roundtrip", with_views("""select scene_id, count(*) filter (category<>'flower') as objects, count(*) filter (category='flower') as effects, sum(x)::bigint as x, min('objects/' || det_id || '.png') as first_asset from fx_boxes group by 1""", "fx_boxes"))
 def roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Writes one document per scene, reads them back, upgrades and explodes them."""
+    """Writes the manifests of all scenes, with gaps in ``seq``, reads them back and upgrades them."""
     import uuid
     box = F.struct(*(F.col(c).cast("bigint").alias(c) for c in "xywh"))
     b = view(spark, folder, "fx_boxes")
-    objects = b.select("scene_id", "seq", F.col("det_id").cast("string").alias("id"), "category", F.when(F.col("category") == "flower", "fx_environment").otherwise("prop").alias("group"), "confidence", box.alias("bbox"),
+    objects = b.select("scene_id", (F.col("seq") * 1000).alias("seq"), F.col("det_id").cast("string").alias("id"), "category", F.when(F.col("category") == "flower", "fx_environment").otherwise("prop").alias("group"), "confidence", box.alias("bbox"),
                        F.lit("pass").alias("status"), F.concat(F.lit("/out/objects/"), F.col("det_id").cast("string"), F.lit(".png")).alias("asset_path"))
     frame = view(spark, folder, "fx_scenes").withColumn("projection", F.lit("unknown"))
     path = f"{scratch_folder(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
-    A.write_manifests(frame, objects, path, "/out", part=150)
-    docs = A.upgrade_manifest(A.read_manifests(spark, path, multiline=False))
-    every = A.manifest_objects(docs).withColumn("e", F.lit(0)).unionByName(A.manifest_objects(docs, "environment_effects").withColumn("e", F.lit(1)))
-    return tidy(every.groupBy(F.col("scene_id").cast("bigint").alias("scene_id")).agg(F.count_if(F.col("e") == 0).alias("objects"), F.count_if(F.col("e") == 1).alias("effects"), F.sum("geometry.visible_bbox.x").alias("x"), F.min("asset_path").alias("first_asset")))
+    A.write_manifests(frame, objects, path, "/out")
+    _, rows = A.read_manifest_rows(spark, path)
+    every = A.upgrade_rows(rows).select("scene_id", "kind", "object.*")
+    return tidy(every.groupBy(F.col("scene_id").cast("bigint").alias("scene_id")).agg(F.count_if(F.col("kind") == "objects").alias("objects"), F.count_if(F.col("kind") == "environment_effects").alias("effects"), F.sum("geometry.visible_bbox.x").alias("x"), F.min("asset_path").alias("first_asset")))

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from spatialqa.functions.boxes import portable
 from spatialqa.functions.quality import base_status
 
-PART = 10_000  # objects per document; larger scenes are written as several documents
-
 BOX = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"
 OBJECT = (f"struct<id:string,category:string,`group`:string,confidence:double,bbox:{BOX},crop_bbox:{BOX},bbox_visible:{BOX},bbox_full:{BOX},"
           f"status:string,error:string,asset_path:string,hd_asset_path:string,mask_path:string,visible_mask_path:string,reconstructed_mask_path:string,"
@@ -19,7 +17,8 @@ MANIFEST = (f"schema_version string, mock boolean, scene_id string, scene struct
             f"pipeline_status string, objects array<{OBJECT}>, environment_effects array<{OBJECT}>, "
             f"detection struct<instances:array<{OBJECT}>,object_limit:struct<truncated:boolean,objects_before_limit:bigint,objects_after_limit:bigint>>, "
             f"terrain_layers array<struct<id:string,category:string,qa_status:string,uncertain:boolean,mask_path:string,visible_mask_path:string>>, "
-            f"resource_failures array<string>, part int, parts int")
+            f"resource_failures array<string>")
+HEADER = "scene_id string, schema_version string, scene struct<width:int,height:int,projection:string>"
 ANNOTATION = ("scene_id string, image string, roi array<int>, objects array<struct<id:string,category:string,bbox:array<int>,mask:string,`group`:string,"
               "ignore:boolean,kind:string>>, ignore_regions array<array<int>>, categories array<string>, annotation_status string, provenance string, scope string")
 
@@ -35,26 +34,27 @@ def read_manifests(spark: SparkSession, path: str, instances: DataFrame | None =
     return docs.join(side, "scene_id", "left").withColumn("detection", filled).drop("_side")
 
 
+def upgraded(o: Column) -> Column:
+    """An object in the current shape: geometry, base asset status and enhancement filled in."""
+    g = o["geometry"]
+    status = base_status(o["error"], F.coalesce(o["accepted_asset"], o["asset_path"]), o["status"], o["qa"]["status"],
+                         F.coalesce(o["needs_manual_review"], F.lit(False)) | F.coalesce(o["review_required"], F.lit(False)) | F.coalesce(o["uncertain"], F.lit(False)),
+                         F.coalesce(o["visible_mask_path"], o["mask_path"]),
+                         F.coalesce(o["enhancement"]["required"], F.lit(False)) & o["review"]["reason"].eqNullSafe(F.lit("required_enhancement")), o["base_asset_status"])
+    geometry = F.struct(F.coalesce(g["visible_bbox"], o["bbox_visible"], o["bbox"]).alias("visible_bbox"),
+                        F.coalesce(g["visible_mask"], o["visible_mask_path"], o["mask_path"]).alias("visible_mask"),
+                        F.coalesce(g["full_asset_bbox"], o["placement"]["crop_bbox"], o["crop_bbox"], o["bbox_full"]).alias("full_asset_bbox"),
+                        F.coalesce(g["full_asset_canvas"], o["logical_size"]).alias("full_asset_canvas"),
+                        F.coalesce(g["full_asset_mask"], o["reconstructed_mask_path"]).alias("full_asset_mask"))
+    hd = o["hd_asset_path"].isNotNull()
+    boost = F.coalesce(o["enhancement"], F.struct(hd.alias("requested"), F.when(hd, "ready").otherwise("disabled").alias("status"), F.lit(False).alias("required")))
+    return o.withField("geometry", geometry).withField("base_asset_status", F.coalesce(o["base_asset_status"], status)).withField("enhancement", boost)
+
+
 def upgrade_manifest(docs: DataFrame) -> DataFrame:
     """Documents in the current shape 1.2; 1.1 and 1.2 are accepted, any other version is an error."""
     version = F.coalesce("schema_version", F.lit("1.1"))
     checked = F.when(version.isin("1.1", "1.2"), F.lit("1.2")).otherwise(F.raise_error(F.concat(F.lit("unsupported manifest version "), version)))
-
-    def upgraded(o: Column) -> Column:
-        g = o["geometry"]
-        status = base_status(o["error"], F.coalesce(o["accepted_asset"], o["asset_path"]), o["status"], o["qa"]["status"],
-                             F.coalesce(o["needs_manual_review"], F.lit(False)) | F.coalesce(o["review_required"], F.lit(False)) | F.coalesce(o["uncertain"], F.lit(False)),
-                             F.coalesce(o["visible_mask_path"], o["mask_path"]),
-                             F.coalesce(o["enhancement"]["required"], F.lit(False)) & o["review"]["reason"].eqNullSafe(F.lit("required_enhancement")), o["base_asset_status"])
-        geometry = F.struct(F.coalesce(g["visible_bbox"], o["bbox_visible"], o["bbox"]).alias("visible_bbox"),
-                            F.coalesce(g["visible_mask"], o["visible_mask_path"], o["mask_path"]).alias("visible_mask"),
-                            F.coalesce(g["full_asset_bbox"], o["placement"]["crop_bbox"], o["crop_bbox"], o["bbox_full"]).alias("full_asset_bbox"),
-                            F.coalesce(g["full_asset_canvas"], o["logical_size"]).alias("full_asset_canvas"),
-                            F.coalesce(g["full_asset_mask"], o["reconstructed_mask_path"]).alias("full_asset_mask"))
-        hd = o["hd_asset_path"].isNotNull()
-        boost = F.coalesce(o["enhancement"], F.struct(hd.alias("requested"), F.when(hd, "ready").otherwise("disabled").alias("status"), F.lit(False).alias("required")))
-        return o.withField("geometry", geometry).withField("base_asset_status", F.coalesce(o["base_asset_status"], status)).withField("enhancement", boost)
-
     return (docs.withColumn("schema_version", checked).withColumn("pipeline_status", F.coalesce("pipeline_status", F.lit("completed")))
             .withColumn("objects", F.transform("objects", upgraded)).withColumn("environment_effects", F.transform("environment_effects", upgraded)))
 
@@ -64,25 +64,38 @@ def manifest_objects(docs: DataFrame, field: str = "objects") -> DataFrame:
     return docs.select("scene_id", F.inline(field))
 
 
-def write_manifests(scenes: DataFrame, objects: DataFrame, path: str, root: str, part: int = PART) -> None:
-    """One JSON document per scene, effects apart from objects, paths relative to ``root``.
+def write_manifests(scenes: DataFrame, objects: DataFrame, path: str, root: str) -> None:
+    """Manifests as JSON lines of one shape at any size, paths relative to ``root``.
 
-    ``objects(scene_id, seq, id, category, group, ...)``. A scene with more than ``part``
-    objects becomes several documents numbered ``part`` of ``parts``, so no document has to
-    be gathered from an unbounded group; readers simply explode them all.
+    ``scenes`` holds one header a scene, ``rows`` one line an object (``scene_id, seq,
+    object``), effects in a folder of their own. No scene is gathered.
+    ``objects(scene_id, seq, id, category, group, ...)``.
     """
-    doc = F.floor((F.col("seq") - F.col("_first")) / part).cast("int")
-    bounds = objects.groupBy("scene_id").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
-    numbered = objects.join(bounds, "scene_id").withColumn("part", doc).withColumn("parts", (F.floor((F.col("_last") - F.col("_first")) / part) + 1).cast("int"))
+    scenes.select("scene_id", F.lit("1.2").alias("schema_version"), F.struct("width", "height", "projection").alias("scene")).write.json(f"{path}/scenes")
     fields = [c for c in objects.columns if c not in ("scene_id", "seq")]
     paths = [c for c in fields if c.endswith("_path") or c == "accepted_asset"]
-    item = F.struct("seq", *((portable(F.col(c), root) if c in paths else F.col(c)).alias(c) for c in fields))
-    effect = F.col("group") == "fx_environment"
-    ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, item))), lambda s: F.struct(*(s[c].alias(c) for c in fields)))
-    docs = numbered.groupBy("scene_id", "part", "parts").agg(ordered(~effect).alias("objects"), ordered(effect).alias("environment_effects"))
-    header = scenes.select("scene_id", F.lit("1.2").alias("schema_version"), F.struct("width", "height", "projection").alias("scene"))
-    out = header.join(docs, "scene_id", "left").withColumn("part", F.coalesce("part", F.lit(0))).withColumn("parts", F.coalesce("parts", F.lit(1)))
-    out.withColumn("_dir", F.col("scene_id")).write.partitionBy("_dir").json(path)
+    item = F.struct(*((portable(F.col(c), root) if c in paths else F.col(c)).alias(c) for c in fields))
+    kind = F.when(F.col("group") == "fx_environment", "environment_effects").otherwise("objects").alias("kind")
+    objects.select("scene_id", "seq", item.alias("object"), kind).write.partitionBy("kind").json(f"{path}/rows")
+
+
+def read_manifest_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, ``scene_id, seq, object, kind`` rows) that ``write_manifests`` wrote."""
+    return spark.read.schema(HEADER).json(f"{path}/scenes"), spark.read.schema(f"scene_id string, seq bigint, object {OBJECT}, kind string").json(f"{path}/rows")
+
+
+def upgrade_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("object", upgraded(F.col("object")))
+
+
+def manifest_documents(headers: DataFrame, rows: DataFrame) -> DataFrame:
+    """One nested document per scene, objects and effects in ``seq`` order.
+
+    An export for scenes that are opened as single files: a scene becomes one row, as large
+    as its document. Nothing else in the library needs it.
+    """
+    ordered = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "object")))), lambda s: s["object"]).alias(kind)
+    return headers.join(rows.groupBy("scene_id").agg(ordered("objects"), ordered("environment_effects")), "scene_id", "left")
 
 
 def nan_violations(df: DataFrame) -> DataFrame:

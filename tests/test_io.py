@@ -64,6 +64,19 @@ def test_sinks_and_paths(spark, tmp_path):
         df.select(portable_strict(F.col("asset_path"), "/out")).collect()
 
 
+def test_written_manifests_have_one_shape(spark, tmp_path):
+    scenes = spark.createDataFrame([("s", 10, 10, "flat"), ("empty", 5, 5, "flat")], "scene_id string, width int, height int, projection string")
+    rows = [("s", 40005, "b", "tree", "vegetation", "/out/b.png"), ("s", 5, "a", "tree", "vegetation", "/out/a.png"), ("s", 7, "f", "fog", "fx_environment", None), ("s", 9, "n", "tree", None, None)]
+    objects = spark.createDataFrame(rows, "scene_id string, seq long, id string, category string, `group` string, asset_path string")
+    A.write_manifests(scenes, objects, str(tmp_path / "m"), "/out")
+    headers, lines = A.read_manifest_rows(spark, str(tmp_path / "m"))
+    assert headers.count() == 2 and lines.count() == 4
+    docs = {r.scene_id: r for r in A.manifest_documents(headers, lines).collect()}
+    assert [o.id for o in docs["s"].objects] == ["a", "n", "b"] and [o.id for o in docs["s"].environment_effects] == ["f"]
+    assert docs["s"].objects[0].asset_path == "a.png" and docs["empty"].objects is None and docs["s"].schema_version == "1.2"
+    assert {r.object.base_asset_status for r in A.upgrade_rows(lines).filter("object.id = 'a'").collect()} != {None}
+
+
 def test_request_key_ignores_parameter_order(spark):
     df = spark.createDataFrame([("x", 1)], "a string, b long")
     key = lambda p: request_key(p, pipeline_version="1", prompt_version="1", namespace=F.lit("n"), model=F.lit("m"))
