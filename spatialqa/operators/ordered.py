@@ -19,14 +19,16 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column], columns: list
     return df.groupBy(*keys).agg(best.alias("_first")).select(*keys, "_first.*")
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
-    """First ``k`` rows of each key.
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str | None = None) -> DataFrame:
+    """First ``k`` rows of each key, all of them when ``k`` is None.
 
     Up to ``NATIVE_LIMIT`` Spark itself cuts each map task's share of a key to ``k`` rows
     before the shuffle. Above it a first cut over (key, salt) does the same.
     """
     name = rank or "_rank"
     number = lambda *cols: F.row_number().over(Window.partitionBy(*cols).orderBy(*order))
+    if k is None:
+        return df.withColumn(name, number(*keys)) if rank else df
     cut = df
     if k > NATIVE_LIMIT:
         cut = (df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))

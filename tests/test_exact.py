@@ -146,6 +146,29 @@ def test_running_totals_in_blocks(spark):
         last = i if i % 7 == 0 else last
 
 
+def test_running_totals_over_a_sparse_order(spark):
+    df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id") * 1_000_003).alias("seq"), F.lit(1).alias("v"))
+    out = running(df, ["k"], "seq", {"n": ("sum", F.col("v"))}, cuts=16)
+    assert [r.n for r in out.orderBy("seq").collect()] == list(range(1, 5001))
+
+
+def test_places_in_the_lineage_are_unique(spark):
+    rows = detections(15, n=60)
+    hot = {"key": (0, "hot"), "confidence": 0.625, "box": (10, 10, 60, 60), "window": (0, 0, 256, 256), "cut": False, "edges": [], "look": [1.0], "parent": None}
+    rows += [{**hot, "id": 1000 + i, "seq": 1000 + i, "confidence": c} for c, ids in ((0.625, range(50)), (0.5, range(50, 80))) for i in ids]
+    entities, members = U.fuse(as_table(spark, rows))
+    places = {}
+    for m in members.collect():
+        places.setdefault(m.entity_id, []).append(m.pos)
+    sizes = {e.det_id: e.members for e in entities.collect()}
+    assert all(sorted(p) == list(range(1, sizes[e] + 1)) for e, p in places.items()) and max(sizes.values()) >= 80
+
+
+def test_copies_above_the_top_confidence_follow_the_loop(spark):
+    row = {"key": (0, "hot"), "confidence": 0.995, "box": (10, 10, 60, 60), "window": (0, 0, 256, 256), "cut": False, "edges": [], "look": [1.0], "parent": None}
+    check_fusion(spark, [{**row, "id": i, "seq": i} for i in range(5)], U.LIMIT)
+
+
 def test_top_k_of_a_hot_key(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     assert sorted(r.v for r in top_k(df, ["k"], [-F.col("v")], 1200).filter("k = 0").collect()) == list(range(2400, 6000, 3))

@@ -250,6 +250,17 @@ def test_detection_plan_end_to_end(spark):
     assert kept["stone_lantern"].members == 2 and kept["tree"].members == 2 and not kept["tree"].is_truncated
 
 
+def test_parents_are_observed_again_by_confidence(spark):
+    schema = ("scene_id long, det_id long, seq long, source string, label string, confidence double, bbox array<double>, bbox_format string, coordinate_space string, "
+              "wx0 long, wy0 long, wx1 long, wy1 long, width long, height long, appearance array<double>, parent_id long")
+    row = lambda i, score, parent: (0, i, i, "tile", "tree", score, [0., 20., 40., 60.], None, None, 200 * (i % 1000), 0, 200 * (i % 1000) + 100, 100, 40000, 100, [1.0], parent)
+    scores = {i: .5 + (i * 37 % 151) / 400 for i in range(1, 151)}
+    raw = spark.createDataFrame([row(i, s, None) for i, s in scores.items()], schema)
+    out = run_detection(raw, ["tree"], F.lit(4_000_000), spark.createDataFrame([row(1001, .8, 1)], schema))
+    left = {r.det_id for r in out["redetections"].collect() if r.status == "budget_exhausted"}
+    assert left == set(sorted(scores, key=scores.get)[:50])
+
+
 def test_unfinished_scenes(spark):
     rows = [(1, 1, .5, 3), (2, 1, .9, 3), (3, 1, .1, 0), (3, 2, .1, 0)]
     df = spark.createDataFrame(rows, "scene_id long, round long, coverage double, new_accepted long")
