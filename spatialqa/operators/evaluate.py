@@ -70,23 +70,24 @@ def match_gt(predictions: DataFrame, gt: DataFrame, threshold: float = 0.5, keys
     In confidence order each prediction takes its best free object. All predictions are
     ranked alike, so this is the one stable matching, reached by rounds in which every
     prediction asks its best remaining object and each object refuses all but the best
-    asker so far. Outcomes: ``match``, ``duplicate`` (its best object is taken), ``false_positive``.
+    asker so far. Objects of equal IoU go by ``seq`` where ``gt`` has it, else by id. Outcomes: ``match``, ``duplicate`` (its best object is taken), ``false_positive``.
     """
     value = eval_iou(suffixed("a"), suffixed("b"))
-    pairs = overlap_join(predictions.select(*keys, ident, "confidence", "seq", *"xywh"), gt.select(*keys, gt_ident, *"xywh"), keys, value >= threshold, grid=grid)
+    place = F.col("seq" if "seq" in gt.columns else gt_ident).alias("place")
+    pairs = overlap_join(predictions.select(*keys, ident, "confidence", "seq", *"xywh"), gt.select(*keys, gt_ident, place, *"xywh"), keys, value >= threshold, grid=grid)
     p, g = F.col(f"{ident}_a"), F.col(f"{gt_ident}_b")
-    edges = materialize(pairs.select(F.col(keys[0]), p.alias("p"), g.alias("g"), value.alias("bbox_iou"),
+    edges = materialize(pairs.select(F.col(keys[0]), p.alias("p"), g.alias("g"), F.col("place_b").alias("place"), value.alias("bbox_iou"),
                                      F.struct((-F.col("confidence_a")).alias("c"), F.col("seq_a").alias("s")).alias("rank")))
     candidates = edges.select(keys[0], "p").distinct()
     count = edges.count()
     while True:
-        asked = first_per(edges, [keys[0], "p"], [-F.col("bbox_iou"), F.col("g")])
+        asked = first_per(edges, [keys[0], "p"], [-F.col("bbox_iou"), F.col("place"), F.col("g")])
         held = asked.groupBy(keys[0], "g").agg(F.min("rank").alias("_held"))
         left = materialize(edges.join(held, [keys[0], "g"], "left").filter(F.col("_held").isNull() | (F.col("rank") <= F.col("_held"))).drop("_held"))
         edges, before, count = left, count, left.count()
         if count == before:
             break
-    final = first_per(edges, [keys[0], "p"], [-F.col("bbox_iou"), F.col("g")])
+    final = first_per(edges, [keys[0], "p"], [-F.col("bbox_iou"), F.col("place"), F.col("g")])
     matches = final.select(keys[0], F.col("p").alias(ident), F.col("g").alias(gt_ident), "bbox_iou")
     flags = (candidates.select(keys[0], F.col("p").alias(ident), F.lit(True).alias("_near"))
              .join(matches.select(keys[0], ident, F.lit(True).alias("_hit")), [keys[0], ident], "left"))

@@ -12,6 +12,7 @@ from spatialqa.registry.geometry import common_sql, iou_sql
 from spatialqa.registry.masks import H, PX, W, runs, shapes
 from spatialqa.session import materialize
 from spatialqa.sources.derived import view, with_views
+from spatialqa.sources.manifest import annotation_inputs
 
 CATEGORIES = ["tree", "stone_lantern", "building", "flower"]
 
@@ -42,6 +43,36 @@ out as (select scene_id, pred_id, gt_id, i as bbox_iou, case when gt_id is not n
 """
 
 
+ANNOTATED_SQL = PRED_SQL + """, ann as (select *, mod(gt_id,3)=0 as ign, mod(gt_id,7)<>0 as scored from fx_gt),
+clip as (select det_id as pred_id, scene_id, category, confidence, seq, greatest(x,100) as x, greatest(y,50) as y, least(x+w,1700)-greatest(x,100) as w, least(y+h,1100)-greatest(y,50) as h from raw_pred
+  where case when mod(scene_id,2)=0 then (scene_id,category) in (select (scene_id,category) from ann) else category in ('tree','stone_lantern','building','flower') end
+  and x+w/2.0>=100 and x+w/2.0<1700 and y+h/2.0>=50 and y+h/2.0<1100),
+hide as (select distinct scene_id, 100 as x, 50 as y, 200 as w, 200 as h from ann union all select scene_id, x, y, w, h from ann where ign),
+pred as (select * from clip p where not exists (select 1 from hide i where i.scene_id=p.scene_id
+  and (greatest(0,least(p.x+p.w,i.x+i.w)-greatest(p.x,i.x))*greatest(0,least(p.y+p.h,i.y+i.h)-greatest(p.y,i.y)))/greatest(1,p.w*p.h)::double >= 0.5)),
+gt as (select * from ann where not ign and scored)"""
+
+
+def annotation_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotation documents of all scenes: ignored objects, objects of another kind, every second one without a category list."""
+    gt, i = view(spark, folder, "fx_gt"), F.col("gt_id")
+    corners = F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("bbox")
+    none = F.lit(None).cast("string")
+    item = F.struct(i.cast("string").alias("id"), "category", corners, none.alias("mask"), none.alias("group"), (i % 3 == 0).alias("ignore"), F.when(i % 7 == 0, "terrain").alias("kind"))
+    objects = gt.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct(i.alias("at"), item.alias("o")))).alias("l"))
+    listed = F.when(F.col("scene_id") % 2 == 1, F.array(*map(F.lit, CATEGORIES)))
+    return objects.select("scene_id", F.array(*map(F.lit, (100, 50, 1700, 1100))).alias("roi"), F.transform("l", lambda r: r["o"]).alias("objects"),
+                          F.array(F.array(*map(F.lit, (100, 50, 300, 250)))).alias("ignore_regions"), listed.alias("categories"))
+
+
+@query("evaluated_annotations", with_views(MATCH_SQL.replace(CLIP_SQL, ANNOTATED_SQL) + "select pred_id, outcome, gt_id from out", "fx_boxes", "fx_gt"))
+def evaluated_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    preds = _annotated(spark, folder)[0]
+    out = evaluate_scenes(preds, *annotation_inputs(materialize(annotation_documents(spark, folder))), F.lit(1800 * 1200))
+    matched = out["matches"].select("pred_id", F.col("gt_id").cast("bigint").alias("gt_id"))
+    return tidy(out["predictions"].select("pred_id", "outcome").join(matched, "pred_id", "left"))
+
+
 def _annotated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(predictions, annotation of every scene, ignore regions, ground truth)."""
     third = F.expr("(det_id div 4) % 2 = 0")

@@ -135,12 +135,28 @@ def read_annotations(spark: SparkSession, path: str, multiline: bool = True) ->
 
 def annotation_objects(docs: DataFrame) -> DataFrame:
     at = lambda i: F.get("bbox", F.lit(i))
-    rows = docs.select("scene_id", F.inline("objects"))
-    return rows.select("scene_id", F.col("id").alias("gt_id"), "category", "mask", F.coalesce("group", F.lit("other")).alias("grp"),
+    rows = docs.select("scene_id", F.posexplode("objects").alias("seq", "o")).select("scene_id", "seq", "o.*")
+    return rows.select("scene_id", F.col("id").alias("gt_id"), "seq", "category", "mask", F.coalesce("group", F.lit("other")).alias("grp"),
                        F.coalesce("ignore", F.lit(False)).alias("ignore"), F.coalesce("kind", F.lit("instance")).alias("kind"),
                        at(0).alias("x"), at(1).alias("y"), (at(2) - at(0)).alias("w"), (at(3) - at(1)).alias("h"))
 
 
+def annotation_inputs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(annotations, ignore regions, ground truth) of annotation documents, as the evaluation takes them.
+
+    Objects marked ``ignore`` are ignore regions; only instances are scored. Without a
+    category list the categories of all the document's objects count. ``seq`` is an object's
+    place in its document.
+    """
+    corner = lambda name, i: F.get(name, F.lit(i))
+    listed = F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array_distinct(F.transform("objects", lambda o: o["category"])))
+    annotations = docs.select("scene_id", *(corner("roi", i).alias(n) for i, n in enumerate(("rx0", "ry0", "rx1", "ry1"))), listed.alias("categories"))
+    objects = annotation_objects(docs)
+    regions = docs.select("scene_id", F.explode("ignore_regions").alias("r")).select(
+        "scene_id", corner("r", 0).alias("x"), corner("r", 1).alias("y"), (corner("r", 2) - corner("r", 0)).alias("w"), (corner("r", 3) - corner("r", 1)).alias("h"))
+    return annotations, regions.unionByName(objects.filter("ignore").select("scene_id", *"xywh")), objects.filter("not ignore and kind = 'instance'")
+
+
 def annotation_violations(annotations: DataFrame, gt: DataFrame, ignore: DataFrame) -> DataFrame:
     """One row per broken rule: ``scene_id, item, violation``.
 

@@ -54,6 +54,23 @@ def test_annotations(spark, tmp_path):
     assert (row.gt_id, row.kind, row.ignore, row.w, row.h) == ("a", "instance", False, 10, 20)
 
 
+def test_annotations_become_evaluation_inputs(spark, tmp_path):
+    item = lambda i, **kw: {"id": i, "category": "tree", "bbox": [1, 2, 11, 22], **kw}
+    doc = {"scene_id": "s", "roi": [0, 0, 50, 50], "objects": [item("b"), item("a"), item("i", ignore=True, category="rock"), item("t", kind="terrain")], "ignore_regions": [[1, 1, 4, 5]]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    annotations, ignore, gt = A.annotation_inputs(A.read_annotations(spark, str(tmp_path / "a.json")))
+    assert annotations.first().categories == ["tree", "rock"] and annotations.first().rx1 == 50
+    assert {(r.x, r.y, r.w, r.h) for r in ignore.collect()} == {(1, 1, 3, 4), (1, 2, 10, 20)}
+    assert [(r.gt_id, r.seq) for r in gt.orderBy("seq").collect()] == [("b", 0), ("a", 1)]
+
+
+def test_equal_overlaps_go_to_the_first_annotated(spark):
+    from spatialqa.operators.evaluate import match_gt
+    preds = spark.createDataFrame([(1, "tree", 7, .9, 0, 0, 0, 10, 10)], "scene_id long, category string, pred_id long, confidence double, seq long, x long, y long, w long, h long")
+    gt = spark.createDataFrame([(1, "tree", "g2", 0, 0, 0, 10, 10), (1, "tree", "g10", 1, 0, 0, 10, 10)], "scene_id long, category string, gt_id string, seq long, x long, y long, w long, h long")
+    assert match_gt(preds, gt)[0].first().gt_id == "g2" and match_gt(preds, gt.drop("seq"))[0].first().gt_id == "g10"
+
+
 def test_sinks_and_paths(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), "/out/a/b.png"), (2, 1.0, "/elsewhere/c.png")], "id long, v double, asset_path string")
     A.write_tables({"x": df}, str(tmp_path / "tables"))
