@@ -5,7 +5,7 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CUTS = 128  # blocks of a key, about equal in rows
+BLOCK = 1 << 21  # values of the order in a block; a task holds no more rows of a key, or blocks of it, at once
 SALTS = 32
 NATIVE_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -38,29 +38,28 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, ra
 
 
 def running(df: DataFrame, keys: list[str], order: str, aggs: dict[str, tuple[str, Column]],
-            exclusive: Iterable[str] = (), cuts: int = CUTS) -> DataFrame:
+            exclusive: Iterable[str] = (), block: int = BLOCK, levels: int = 2) -> DataFrame:
     """Running ``sum`` / ``count`` / ``max`` per key along an integer ``order`` column.
 
-    Approximate quantiles of the order cut each key into at most ``cuts`` blocks, however its
-    values are spread; windows run per (key, block) and each block adds the combined total of
-    the blocks before it. A task sorts one block of a hot key, never the whole of it.
+    The order is cut into blocks; windows run per (key, block) and each block adds the
+    combined total of the blocks before it. Those totals are running ones too, over blocks of
+    blocks, so however far the values lie apart a task sorts at most ``block`` rows of a key.
     ``exclusive`` names results that leave out the current row (sum starts at 0).
     """
-    kinds = {"sum": F.sum, "count": F.count, "max": F.max}
-    exclusive = set(exclusive)
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 16 * cuts).alias("_bounds"))
-    bounds = bounds.withColumn("_bounds", F.array_distinct("_bounds"))
-    cut = df.join(bounds, keys).withColumn("_block", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
-    for name, (kind, expr) in aggs.items():
+    kinds, merge = {"sum": F.sum, "count": F.count, "max": F.max}, {"sum": "sum", "count": "sum", "max": "max"}
+    exclusive, at = set(exclusive), f"_block{levels}"
+    cut = df.withColumn(at, F.floor(F.col(order) / F.lit(block)))
+    for name, (_, expr) in aggs.items():
         cut = cut.withColumn(f"_in_{name}", expr)
-    totals = cut.groupBy(*keys, "_block").agg(
-        *(kinds[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in aggs.items()))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    merge = {"sum": F.sum, "count": F.sum, "max": F.max}
-    prefix = totals.select(*keys, "_block", *(
-        merge[kind](f"_tot_{name}").over(before).alias(f"_pre_{name}") for name, (kind, _) in aggs.items()))
-    base = Window.partitionBy(*keys, "_block").orderBy(order)
-    out = cut.join(prefix, [*keys, "_block"])
+    totals = cut.groupBy(*keys, at).agg(*(kinds[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in aggs.items()))
+    if levels > 1:
+        sums = {f"_pre_{name}": (merge[kind], F.col(f"_tot_{name}")) for name, (kind, _) in aggs.items()}
+        prefix = running(totals, keys, at, sums, sums, block, levels - 1).select(*keys, at, *sums)
+    else:
+        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        prefix = totals.select(*keys, at, *(kinds[merge[kind]](f"_tot_{name}").over(before).alias(f"_pre_{name}") for name, (kind, _) in aggs.items()))
+    base = Window.partitionBy(*keys, at).orderBy(order)
+    out = cut.join(prefix, [*keys, at])
     for name, (kind, _) in aggs.items():
         frame = base.rowsBetween(Window.unboundedPreceding, -1 if name in exclusive else 0)
         local = kinds[kind](f"_in_{name}").over(frame)
@@ -69,7 +68,7 @@ def running(df: DataFrame, keys: list[str], order: str, aggs: dict[str, tuple[st
         else:
             value = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(f"_pre_{name}"), F.lit(0))
         out = out.withColumn(name, value)
-    return out.drop("_block", *(f"_in_{n}" for n in aggs), *(f"_pre_{n}" for n in aggs))
+    return out.drop(at, *(f"_in_{n}" for n in aggs), *(f"_pre_{n}" for n in aggs))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

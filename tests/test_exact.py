@@ -138,7 +138,7 @@ def test_budget_equals_loop(spark):
 
 def test_running_totals_in_blocks(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("seq"), (F.col("id") % 7).alias("v"))
-    out = running(df, ["k"], "seq", {"s": ("sum", F.col("v")), "m": ("max", F.when(F.col("v") == 0, F.col("seq"))), "n": ("count", F.lit(1))}, exclusive=["m"], cuts=16).orderBy("seq").collect()
+    out = running(df, ["k"], "seq", {"s": ("sum", F.col("v")), "m": ("max", F.when(F.col("v") == 0, F.col("seq"))), "n": ("count", F.lit(1))}, exclusive=["m"], block=64).orderBy("seq").collect()
     total, last = 0, None
     for i, row in enumerate(out):
         total += i % 7
@@ -148,7 +148,7 @@ def test_running_totals_in_blocks(spark):
 
 def test_running_totals_over_a_sparse_order(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id") * 1_000_003).alias("seq"), F.lit(1).alias("v"))
-    out = running(df, ["k"], "seq", {"n": ("sum", F.col("v"))}, cuts=16)
+    out = running(df, ["k"], "seq", {"n": ("sum", F.col("v"))}, block=64)
     assert [r.n for r in out.orderBy("seq").collect()] == list(range(1, 5001))
 
 
