@@ -8,7 +8,7 @@ from spatialqa.operators.nms import independent_rows
 from spatialqa.operators.ordered import first_per
 from spatialqa.operators.overlap import Grid, overlap_join, suffixed
 from spatialqa.operators.runs import pixel_count, run_difference, shared_pieces, union_runs
-from spatialqa.session import materialize
+from spatialqa.session import discard, materialize
 
 
 
@@ -78,12 +78,14 @@ def match_gt(predictions: DataFrame, gt: DataFrame, threshold: float = 0.5, keys
     p, g = F.col(f"{ident}_a"), F.col(f"{gt_ident}_b")
     edges = materialize(pairs.select(F.col(keys[0]), p.alias("p"), g.alias("g"), F.col("place_b").alias("place"), value.alias("bbox_iou"),
                                      F.struct((-F.col("confidence_a")).alias("c"), F.col("seq_a").alias("s")).alias("rank")))
-    candidates = edges.select(keys[0], "p").distinct()
+    first, candidates = edges, edges.select(keys[0], "p").distinct()
     count = edges.count()
     while True:
         asked = first_per(edges, [keys[0], "p"], [-F.col("bbox_iou"), F.col("place"), F.col("g")])
         held = asked.groupBy(keys[0], "g").agg(F.min("rank").alias("_held"))
         left = materialize(edges.join(held, [keys[0], "g"], "left").filter(F.col("_held").isNull() | (F.col("rank") <= F.col("_held"))).drop("_held"))
+        if edges is not first:  # the first edges say who has candidates
+            discard(edges)
         edges, before, count = left, count, left.count()
         if count == before:
             break

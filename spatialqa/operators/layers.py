@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from spatialqa.operators.ordered import running
-from spatialqa.session import materialize
+from spatialqa.session import discard, materialize
 
 
 def layer_order(items: DataFrame, edges: DataFrame, order: list[str], ident: str = "object_id", scene: str = "scene_id",
@@ -44,9 +44,11 @@ def layer_order(items: DataFrame, edges: DataFrame, order: list[str], ident: str
         late = grown.filter(F.col("_at") != F.col("_key"))
         slot = late.select(scene, "_id", "_path")
         # Waiting inside a place matters only between items that share it.
-        arcs = materialize(arcs.join(slot.select(scene, F.col("_id").alias("front_id"), F.col("_path").alias("_pf")), [scene, "front_id"])
-                           .join(slot.select(scene, F.col("_id").alias("back_id"), F.col("_path").alias("_pb")), [scene, "back_id"])
-                           .filter(F.col("_pf") == F.col("_pb")).select(scene, "front_id", "back_id"))
+        inner = materialize(arcs.join(slot.select(scene, F.col("_id").alias("front_id"), F.col("_path").alias("_pf")), [scene, "front_id"])
+                            .join(slot.select(scene, F.col("_id").alias("back_id"), F.col("_path").alias("_pb")), [scene, "back_id"])
+                            .filter(F.col("_pf") == F.col("_pb")).select(scene, "front_id", "back_id"))
+        discard(arcs)
+        arcs = inner
         active = late.drop("_at")
     out = base
     single = F.array("_key")
@@ -78,6 +80,7 @@ def _places(nodes: DataFrame, arcs: DataFrame, scene: str) -> tuple[DataFrame, D
         step = materialize(rest.join(state.filter(~F.col("_open")), [scene, "_id"]).select(scene, "_id", F.greatest("_key", "_b").alias("_at")))
         if step.isEmpty():
             break
-        ready = materialize(ready.union(step))
-        rest = materialize(rest.join(step, [scene, "_id"], "left_anti"))
+        more, fewer = materialize(ready.union(step)), materialize(rest.join(step, [scene, "_id"], "left_anti"))
+        discard(ready, rest, step)
+        ready, rest = more, fewer
     return ready, rest.select(scene, "_id")

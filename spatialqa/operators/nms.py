@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spatialqa.functions.boxes import Box, iou
 from spatialqa.operators.ordered import first_per, top_k
 from spatialqa.operators.overlap import Grid, cell_count, grid_for, on_cells, overlap_join, suffixed
-from spatialqa.session import materialize
+from spatialqa.session import discard, materialize
 
 WIDTH = 256
 
@@ -70,12 +70,13 @@ def independent_rows(df: DataFrame, keys: list[str], order: list[Column], ident:
             blind = guests.join(ends, grid).filter(F.col("_ord") > F.col("_end")).select("_id").distinct()
             ready = materialize(ready.join(blind, "_id", "left_anti"))
         edges = materialize(_edges(listed, guests, ready, keys, clash))
-        count, lost = edges.count(), []
+        count, lost, done = edges.count(), [], [listed, ready, edges]
         while count:
             beaten = _beaten(edges)
             lost.append(beaten)
             edges = materialize(edges.join(beaten, "loser", "left_anti")
                                 .join(beaten.withColumnRenamed("loser", "winner"), "winner", "left_anti"))
+            done.append(edges)
             before, count = count, edges.count()
             if count == before:
                 break
@@ -85,14 +86,19 @@ def independent_rows(df: DataFrame, keys: list[str], order: list[Column], ident:
             out = out.union(part)
         fresh = materialize(ready.join(out.withColumnRenamed("loser", "_id"), "_id", "left_anti"))
         kept = fresh if kept is None else kept.union(fresh)
-        if listed.filter(F.col("_place") >= width).isEmpty():
+        complete = listed.filter(F.col("_place") >= width).isEmpty()
+        discard(*done)
+        if complete:
             break  # no list was cut, so every row has been decided
         undecided = live.join(fresh, "_id", "left_anti")
         dropped = overlap_join(undecided, live.join(fresh, "_id", "left_semi"), keys,
                                clash(suffixed("a"), suffixed("b")), grid=shape)
-        live = materialize(undecided.join(dropped.select(F.col("_id_a").alias("_id")).distinct(), "_id", "left_anti"))
+        rest = materialize(undecided.join(dropped.select(F.col("_id_a").alias("_id")).distinct(), "_id", "left_anti"))
+        discard(live)
+        live = rest
         if live.isEmpty():
             break
+    discard(live)
     return kept.select(F.col("_id").alias(ident))
 
 

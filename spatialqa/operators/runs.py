@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from spatialqa.functions.boxes import Box
 from spatialqa.operators.ordered import top_k
 from spatialqa.operators.tiles import starts
-from spatialqa.session import materialize
+from spatialqa.session import discard, materialize
 
 STRIP = 128
 ROW = ["scene_id", "y"]
@@ -255,7 +255,7 @@ def mask_components(runs: DataFrame, keys: list[str] = ["scene_id", "mask_id"])
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest reachable id per node (``id, label``), by neighbour minimum and pointer jumping."""
     both = materialize(links.filter("a <> b").union(links.filter("a <> b").select("b", "a")).distinct())
-    state = materialize(nodes.select("id", F.col("id").alias("label")))
+    old = state = materialize(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = state.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
@@ -263,7 +263,10 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
         moved = materialize(low.join(jump, "low", "left").select(
             "id", F.least("low", F.coalesce("beyond", "low")).alias("label"), (F.least("low", F.coalesce("beyond", "low")) < F.col("label")).alias("changed")))
         state = moved.select("id", "label")
+        discard(old)
+        old = moved
         if moved.filter("changed").isEmpty():
+            discard(both)
             return state
 
 

@@ -32,7 +32,7 @@ def group_sql(column: str) -> str:
 
 # The greedy loop itself: rows of a group in order, carrying the boxes kept so far.
 KEPT_CTE = f"""with recursive ranked as (
-  select *, row_number() over (partition by scene_id, category order by confidence desc, seq) as rn from fx_boxes),
+  select *, row_number() over (partition by scene_id, category order by confidence desc, seq) as rn from boxes),
 walk as (
   select scene_id, category, rn, det_id, true as ok, [{{'x':x,'y':y,'w':w,'h':h}}] as kept from ranked where rn = 1
   union all
@@ -41,25 +41,46 @@ walk as (
   from (select r.*, k.kept, len(list_filter(k.kept, lambda o: {iou_sql('o', 'r')} > 0.5)) = 0 as ok
         from walk k join ranked r on r.scene_id = k.scene_id and r.category = k.category and r.rn = k.rn + 1) n)
 """
+PAIRS_SQL = f"""
+select a.scene_id, a.category, a.det_id as id_a, b.det_id as id_b, round({iou_sql('a', 'b')}, 6) as iou
+from boxes a join boxes b on a.scene_id = b.scene_id and a.category = b.category and a.det_id < b.det_id
+where {iou_sql('a', 'b')} > 0.5"""
+KEPT_SQL = KEPT_CTE + "select w.scene_id, w.category, w.det_id, round(r.confidence, 6) as confidence from walk w join ranked r using (det_id) where w.ok"
 
 
-@query("overlap_pairs", with_views(f"""
-select a.scene_id, a.category, a.det_id as id_a, b.det_id as id_b, round({iou_sql('a', 'b')}, 6) as iou
-from fx_boxes a join fx_boxes b on a.scene_id = b.scene_id and a.category = b.category and a.det_id < b.det_id
-where {iou_sql('a', 'b')} > 0.5""", "fx_boxes"))
-def overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    boxes = view(spark, folder, "fx_boxes").select("scene_id", "category", "det_id", *"xywh")
+def over(sql: str, name: str) -> str:
+    """``sql`` with the derived view ``name`` for its table ``boxes``."""
+    return with_views(sql.replace("from boxes", f"from {name}").replace("join boxes", f"join {name}"), name)
+
+
+def _pairs(boxes: DataFrame) -> DataFrame:
+    boxes = boxes.select("scene_id", "category", "det_id", *"xywh")
     value = iou(suffixed("a"), suffixed("b"))
     pairs = overlap_join(boxes, boxes, ["scene_id", "category"], (F.col("det_id_a") < F.col("det_id_b")) & (value > 0.5))
     return tidy(pairs.select("scene_id", "category", F.col("det_id_a").alias("id_a"), F.col("det_id_b").alias("id_b"), value.alias("iou")))
 
 
-@query("nms_kept", with_views(KEPT_CTE + "select w.scene_id, w.category, w.det_id, round(r.confidence, 6) as confidence from walk w join ranked r using (det_id) where w.ok", "fx_boxes"))
+@query("overlap_pairs", over(PAIRS_SQL, "fx_boxes"))
+def overlap_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(view(spark, folder, "fx_boxes"))
+
+
+@query("overlap_pairs_mixed", over(PAIRS_SQL, "fx_mixed"))
+def overlap_pairs_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(view(spark, folder, "fx_mixed"))
+
+
+@query("nms_kept", over(KEPT_SQL, "fx_boxes"))
 def nms_kept(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(nms(view(spark, folder, "fx_boxes"), 0.5).select("scene_id", "category", "det_id", "confidence"))
 
 
-@query("nms_limited", with_views(KEPT_CTE + """
+@query("nms_mixed", over(KEPT_SQL, "fx_mixed"))
+def nms_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return tidy(nms(view(spark, folder, "fx_mixed"), 0.5).select("scene_id", "category", "det_id", "confidence"))
+
+
+@query("nms_limited", over(KEPT_CTE + """
 select scene_id, det_id from (
   select r.scene_id, r.det_id, row_number() over (partition by r.scene_id order by r.confidence desc, r.seq) as n
   from walk w join ranked r using (det_id) where w.ok) t where n <= 40""", "fx_boxes"))

@@ -56,4 +56,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark).rstrip('/')}/spatialqa-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more; other frames are left alone.
+
+    For loops: a round's tables go once the tables that follow from them are written.
+    """
+    for table in tables:
+        name = vars(table).get("stored_at")
+        if name:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

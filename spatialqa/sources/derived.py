@@ -21,6 +21,18 @@ select event_id as det_id, event_id as seq,
   40+mod((cast(floor(event_id/100) as bigint)*4+mod(event_id,4))*31,157)+mod(event_id,7) as w,
   30+mod((cast(floor(event_id/100) as bigint)*4+mod(event_id,4))*17,139)+mod(event_id,5) as h
 from events""",
+    # Sides from 10 to 10^6; scene 0 holds a third of all rows and one of the largest boxes.
+    "fx_mixed": """
+select det_id, det_id as seq, scene_id, category, confidence, x, y,
+  case when kind = 'huge' then 1000000 when kind = 'large' then 20000+mod(det_id*31,30000) when kind = 'middle' then 300+mod(det_id*31,700) else 10+mod(det_id,41) end as w,
+  case when kind = 'huge' then 1000000 when kind = 'large' then 20000+mod(det_id*17,30000) when kind = 'middle' then 300+mod(det_id*17,700) else 10+mod(det_id,37) end as h
+from (select event_id as det_id, case when mod(event_id,3)=0 then 0 else 1+cast(floor(event_id/400) as bigint) end as scene_id,
+  case event_type when 'view' then 'tree' when 'signup' then 'stone_lantern' when 'click' then 'grass_ground' when 'error' then 'building' else 'flower' end as category,
+  mod(event_id*7919,997)/cast(997 as double) as confidence,
+  mod(cast(floor(event_id/60) as bigint)*7919,99991)+mod(event_id*13,11) as x, mod(cast(floor(event_id/60) as bigint)*104729,99991)+mod(event_id*29,7) as y,
+  case when event_id = 3 or (mod(event_id,3)<>0 and mod(event_id,1999)=11) then 'huge' when mod(event_id,3)<>0 and mod(event_id,499)=7 then 'large'
+       when mod(event_id,97)=5 then 'middle' else 'small' end as kind
+  from events) t""",
     "fx_scenes": """
 select distinct cast(floor(event_id/400) as bigint) as scene_id, 1800 as width, 1200 as height from events""",
     # The same boxes at a quarter of the size, for mask work: scenes of 450 x 300.

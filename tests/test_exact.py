@@ -219,3 +219,19 @@ def test_nms_of_mixed_sizes_equals_the_loop(spark):
             kept.append(row)
     for width in (256, 8):
         assert {r.det_id for r in nms(df, 0.1, width=width).collect()} == {k[2] for k in kept}
+
+
+def test_rounds_leave_only_what_the_result_reads(spark):
+    import os
+    from spatialqa.operators.runs import connected
+    from spatialqa.session import discard, materialize, scratch_folder
+    tables = lambda: set(os.listdir(scratch_folder(spark).removeprefix("file:")))
+    before = tables()
+    chain = spark.range(40).selectExpr("id")
+    labels = connected(chain, spark.range(39).selectExpr("id as a", "id + 1 as b"))
+    assert len(tables() - before) == 1 and {r.label for r in labels.collect()} == {0}
+    kept = materialize(chain)
+    discard(chain, chain.where("id > 1"))  # frames without files of their own
+    assert kept.count() == 40
+    discard(kept)
+    assert len(tables() - before) == 1
