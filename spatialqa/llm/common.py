@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from spatialqa.session import materialize  # noqa: F401
+from spatialqa.session import discard, materialize  # noqa: F401
 
 #: Rows and bytes of one batch that an operator hands back.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spatialqa.llm.common import materialize
+from spatialqa.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -11,8 +11,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points all neighbours of a node to the smallest of them, first the larger
     neighbours, then the smaller ones; it ends when nothing changes. Every round is a
-    written table; the minimum of a node is a partial aggregate and its join can be split,
-    so a node with very many links is no bottleneck. No links: no rows.
+    written table that replaces the one before; the minimum of a node is a partial aggregate and its join can be
+    split, so a node with very many links is no bottleneck. No links: no rows.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -27,6 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        contracted = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(edges)
+        edges = contracted
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("id"), "component")).groupBy("id").agg(F.min("component").alias("component"))
