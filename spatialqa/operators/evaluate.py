@@ -7,7 +7,7 @@ from spatialqa.functions.boxes import Box, eval_iou, intersection
 from spatialqa.operators.nms import independent_rows
 from spatialqa.operators.ordered import first_per
 from spatialqa.operators.overlap import Grid, overlap_join, suffixed
-from spatialqa.operators.runs import pixel_count, run_difference, shared_pieces, union_runs
+from spatialqa.operators.runs import pixel_count, rect_runs, run_difference, shared_pieces, union_runs
 from spatialqa.session import discard, materialize
 
 
@@ -150,12 +150,28 @@ def scores_by_size(gt: DataFrame, matches: DataFrame, scene_area: Column, scene:
     return out.withColumn("recall", F.col("detected") / F.col("gt"))
 
 
-def mask_quality(pairs: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame) -> DataFrame:
+def evaluated_runs(runs: DataFrame, roi: DataFrame | None = None, ignore: DataFrame | None = None) -> DataFrame:
+    """Runs cut to the region of interest and to the pixels outside the ignore regions.
+
+    ``roi(scene_id, rx0, ry0, rx1, ry1)`` has one half-open region a scene, as the annotations
+    do; a scene without one has no evaluated pixel. ``ignore(scene_id, x, y, w, h)``.
+    """
+    out = runs
+    if roi is not None:
+        x0, x1 = F.greatest("x0", "rx0").cast("bigint"), F.least("x1", "rx1").cast("bigint")
+        inside = (F.col("y") >= F.col("ry0")) & (F.col("y") < F.col("ry1")) & (x0 < x1)
+        cut = out.join(roi.select("scene_id", "rx0", "ry0", "rx1", "ry1"), "scene_id").filter(inside)
+        out = cut.withColumn("_x0", x0).withColumn("_x1", x1).drop("x0", "x1").withColumnsRenamed({"_x0": "x0", "_x1": "x1"}).select(*runs.columns)
+    return out if ignore is None else run_difference(out, rect_runs(ignore.select("scene_id", *"xywh")))
+
+
+def mask_quality(pairs: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame, roi: DataFrame | None = None, ignore: DataFrame | None = None) -> DataFrame:
     """IoU, Dice, completeness and contamination per matched pair.
 
     ``pairs(scene_id, gt_id, pred_id)``; runs carry ``gt_id`` / ``pred_id``. A missing
-    predicted mask counts as empty.
+    predicted mask counts as empty. Only evaluated pixels count (``evaluated_runs``).
     """
+    gt_runs, pred_runs = evaluated_runs(gt_runs, roi, ignore), evaluated_runs(pred_runs, roi, ignore)
     n = pixel_count(gt_runs, ["scene_id", "gt_id"], "n")
     p = pixel_count(pred_runs, ["scene_id", "pred_id"], "p")
     width = F.least("_a1", "_b1") - F.greatest("_a0", "_b0")
@@ -188,8 +204,10 @@ def grown(runs: DataFrame, keys: list[str], by: int) -> DataFrame:
     return union_runs(wide, keys)
 
 
-def boundary_f(pairs: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame, tolerance: int = 2) -> DataFrame:
-    """Boundary F-score per matched pair with a square tolerance."""
+def boundary_f(pairs: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame, tolerance: int = 2, roi: DataFrame | None = None,
+               ignore: DataFrame | None = None) -> DataFrame:
+    """Boundary F-score per matched pair with a square tolerance; boundaries are those of the masks cut by ``evaluated_runs``."""
+    gt_runs, pred_runs = evaluated_runs(gt_runs, roi, ignore), evaluated_runs(pred_runs, roi, ignore)
     key = ["scene_id", "gt_id", "pred_id"]
     left = materialize(boundary(pairs.select(*key).join(gt_runs, ["scene_id", "gt_id"]), key))
     right = materialize(boundary(pairs.select(*key).join(pred_runs, ["scene_id", "pred_id"]), key))
@@ -210,12 +228,14 @@ def quality_means(quality: DataFrame, keys: list[str] = ["scene_id"], poor: floa
                                       F.count_if(F.col("iou") < poor).alias("poor_masks"))
 
 
-def semantic_regions(regions: DataFrame, region_runs: DataFrame, pred_runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def semantic_regions(regions: DataFrame, region_runs: DataFrame, pred_runs: DataFrame, roi: DataFrame | None = None,
+                     ignore: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs and runs to score each annotated region against the union of same-category masks.
 
-    ``regions(scene_id, gt_id, category)``; ``pred_runs`` carry ``category``. Feed the result
-    to ``mask_quality`` / ``boundary_f``.
+    ``regions(scene_id, gt_id, category)``; ``pred_runs`` carry ``category``. Both are cut by
+    ``evaluated_runs``. Feed the result to ``mask_quality`` / ``boundary_f``.
     """
+    region_runs, pred_runs = evaluated_runs(region_runs, roi, ignore), evaluated_runs(pred_runs, roi, ignore)
     union = union_runs(pred_runs, ["scene_id", "category"])
     pred = union.join(regions.select("scene_id", "category", "gt_id"), ["scene_id", "category"]).select(
         "scene_id", F.col("gt_id").alias("pred_id"), "y", "x0", "x1")

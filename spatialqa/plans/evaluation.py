@@ -50,9 +50,16 @@ def evaluate_scenes(predictions: DataFrame, annotations: DataFrame, ignore: Data
     }
 
 
-def evaluate_masks(matches: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame, config: EvaluationConfig = EvaluationConfig()) -> tuple[DataFrame, DataFrame]:
-    """(quality per matched pair with an annotated mask, means per scene)."""
+def evaluate_masks(matches: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame, config: EvaluationConfig = EvaluationConfig(),
+                   annotations: DataFrame | None = None, ignore: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(quality per matched pair with an annotated mask, means per scene).
+
+    ``annotations`` (with the region of interest) and ``ignore`` are those of
+    ``evaluate_scenes``; only pixels inside the one and outside the other are scored.
+    """
     pairs = matches.select("scene_id", "gt_id", "pred_id").join(gt_runs.select("scene_id", "gt_id").distinct(), ["scene_id", "gt_id"], "left_semi")
+    if annotations is not None or ignore is not None:
+        gt_runs, pred_runs = (materialize(E.evaluated_runs(r, annotations, ignore)) for r in (gt_runs, pred_runs))
     quality = E.mask_quality(pairs, gt_runs, pred_runs).join(
         E.boundary_f(pairs, gt_runs, pred_runs, config.boundary_tolerance), ["scene_id", "gt_id", "pred_id"])
     return quality, E.quality_means(quality, poor=config.poor_mask_iou)
