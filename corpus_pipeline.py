@@ -14,6 +14,8 @@ from spatialqa.llm import hamming, mixture, packing, superkmers, zstd_quality
 from spatialqa.llm.common import id_remainder, materialize
 from spatialqa.llm.queries import tokenizer
 
+#: The least similarity, in percent, of near duplicates in the corpus; op9 has its own.
+NEAR = 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    dropped = hamming.near_duplicates(docs).where("not kept").select("doc_id")
+    """The document with the smallest id of each group of near duplicates: ``NEAR`` percent of their five-word shingles in common, linked directly or through others."""
+    dropped = hamming.near_duplicates(docs, NEAR).where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -8,6 +8,8 @@ left out, and all such pairs share a key. Links are confirmed on the full shingl
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from math import comb
 from typing import Callable, Iterator
 
 import numpy as np
@@ -18,16 +20,42 @@ from spatialqa.llm.common import Writer, fields, flat_map, materialize, slices,
 from spatialqa.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
-CHUNKS, SYMBOLS, BITS = 13, 5, 12
-#: One error in each chunk is allowed, so this distance is guaranteed. Of a pair at the similarity of 0.85
-#: each symbol differs with probability 0.15: more than 25 of 65 do in one pair of about a million.
-DISTANCE = 2 * CHUNKS - 1
+SYMBOLS, BITS = 5, 12
+#: The share of pairs at the least similarity that may lie beyond the guaranteed distance.
+MISSED = 1e-6
+
+
+def distance(chunks: int) -> int:
+    """One error in each chunk is allowed, so this distance is guaranteed."""
+    return 2 * chunks - 1
+
+
+def chunks_for(percent: int) -> int:
+    """The least number of chunks with which no more than ``MISSED`` of the pairs at this similarity are missed.
+
+    Each symbol of such a pair differs with probability 1 - percent / 100: 13 chunks for 85, 23 for 80.
+    """
+    p = 1 - percent / 100
+    for chunks in range(1, 64):
+        n = chunks * SYMBOLS
+        if sum(comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(distance(chunks) + 1, n + 1)) <= MISSED:
+            return chunks
+    raise ValueError(f"signatures cannot find pairs at a similarity of {percent} percent")
+
+
+CHUNKS = chunks_for(PERCENT)
+DISTANCE = distance(CHUNKS)
 LOW = sum(1 << (BITS * i) for i in range(SYMBOLS))
 #: Documents of one block; two blocks and their sets meet in one task.
 BLOCK = 400
 MIX = np.uint64(0x9E3779B97F4A7C15)
-FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, CHUNKS * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = np.random.default_rng(4051).integers(0, 1 << 63, CHUNKS * SYMBOLS, np.uint64)
+
+
+@lru_cache
+def permutations(chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts, one of each for every symbol."""
+    factors = np.random.default_rng(20240229).integers(1, 1 << 63, chunks * SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, np.random.default_rng(4051).integers(0, 1 << 63, chunks * SYMBOLS, np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -49,24 +77,25 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> list[int]:
-    least = np.full(CHUNKS * SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def signature(found: np.ndarray, chunks: int = CHUNKS) -> list[int]:
+    factors, shifts = permutations(chunks)
+    least = np.full(chunks * SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), 2048):
         part = found[start:start + 2048]
-        least = np.minimum(least, (part[None, :] * FACTORS[:, None] + SHIFTS[:, None]).min(axis=1))
+        least = np.minimum(least, (part[None, :] * factors[:, None] + shifts[:, None]).min(axis=1))
     least ^= least >> np.uint64(31)
-    symbols = ((least * MIX) >> np.uint64(64 - BITS)).reshape(CHUNKS, SYMBOLS)
+    symbols = ((least * MIX) >> np.uint64(64 - BITS)).reshape(chunks, SYMBOLS)
     places = np.uint64(BITS) * np.arange(SYMBOLS, dtype=np.uint64)
     return (symbols << places).sum(axis=1).astype(np.int64).tolist()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """doc_id, set size, a 128-bit print of the set, its signature."""
     def start() -> Callable[..., Iterator[tuple]]:
         def one(doc: int | None, text: str) -> Iterator[tuple]:
             found = shingles(text.encode("utf-8", "replace"))
             if len(found):
-                yield doc, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found)
+                yield doc, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found, chunks)
             else:
                 yield doc, 0, None, None
         return one
@@ -74,10 +103,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return flat_map(docs, start, fields("doc_id long,n long,print binary,sig longs"))
 
 
-def keys(sig: Column) -> Column:
+def keys(sig: Column, chunks: int = CHUNKS) -> Column:
     """One key for each chunk and each of its symbols left out."""
     out = []
-    for c in range(CHUNKS):
+    for c in range(chunks):
         for s in range(SYMBOLS):
             keep = ((1 << BITS * SYMBOLS) - 1) ^ (((1 << BITS) - 1) << BITS * s)
             out.append(F.xxhash64(F.lit(c * SYMBOLS + s), sig[c].bitwiseAND(F.lit(keep))))
@@ -87,7 +116,7 @@ def keys(sig: Column) -> Column:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Symbols in which the signatures (rows) of ``a`` and ``b`` differ."""
     total = np.zeros((len(a), len(b)), np.uint8)
-    for c in range(CHUNKS):
+    for c in range(a.shape[1]):
         x = a[:, c, None] ^ b[None, :, c]
         x |= x >> np.uint64(6)
         x |= x >> np.uint64(3)  # the bits of a symbol gather in its lowest three
@@ -95,7 +124,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def joining_links(rows: DataFrame) -> DataFrame:
+def joining_links(rows: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
     """Links that join parts within each pair of blocks; ``rows`` (grp, i, j, block, rep, part, sig, found) comes sorted.
 
     Every pair within the distance is looked at, the nearest first; one whose ends are
@@ -117,7 +146,7 @@ def joining_links(rows: DataFrame) -> DataFrame:
         right = [m for m in members if m[0] != low] or left
         sig = lambda side: np.array([m[3] for m in side], np.int64).view(np.uint64)
         far = distances(sig(left), sig(right))
-        i, j = np.nonzero(far <= DISTANCE)
+        i, j = np.nonzero(far <= distance(chunks))
         if left is right:
             once = i < j
             i, j = i[once], j[once]
@@ -129,13 +158,13 @@ def joining_links(rows: DataFrame) -> DataFrame:
         for x, y in zip(i[order].tolist(), j[order].tolist()):
             (_, a, p, _, s), (_, b, q, _, t) = left[x], right[y]
             small, large = sorted((len(s), len(t)))
-            if 100 * small < PERCENT * large or root(p) == root(q):
+            if 100 * small < percent * large or root(p) == root(q):
                 continue
             for rep, values in ((a, s), (b, t)):
                 if rep not in found:
                     found[rep] = set(values)
             shared = len(found[a] & found[b])
-            if 100 * shared >= PERCENT * (small + large - shared):
+            if 100 * shared >= percent * (small + large - shared):
                 above[max(root(p), root(q))] = min(root(p), root(q))
                 yield min(a, b), max(a, b)
 
@@ -159,29 +188,30 @@ def joining_links(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("found").alias("x")), sets.select(F.col("id").alias("b"), F.col("found").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    fits = 100 * F.least(F.size("x"), F.size("y")) >= PERCENT * F.greatest(F.size("x"), F.size("y"))
+    fits = 100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(fits).where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(fits).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``; links are pairs with a similarity of ``percent`` or more.
 
     A null or empty text has no shingles and is linked with nothing; so is a row with a null
     id, which is kept. Rows that share an id are one document that has each of its texts.
     Equal sets collapse to their smallest id before any pair is made. Only doc_id and text
     are read.
     """
+    chunks = chunks_for(percent)
     docs = docs.select("doc_id", text_of().alias("text"))
-    signed = materialize(signatures(docs))
+    signed = materialize(signatures(docs, chunks))
     full = signed.where("n > 0 and doc_id is not null")
     reps = materialize(full.groupBy("print").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r"))
                        .select("print", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"))
-    keyed = reps.select("rep", F.explode(keys(F.col("sig"))).alias("key"))
+    keyed = reps.select("rep", F.explode(keys(F.col("sig"), chunks)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "lo")
     members = materialize(keyed.join(shared, "key").select("key", "rep", "lo"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -194,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialize(flat_map(squeezed(docs).join(wanted, "doc_id").select("doc_id", "z"), start, fields("id long,found longs")))
     # Each document with the smallest one it shares a key with: settles most groups with one pair a document.
     stars = members.where("rep > lo").groupBy("rep").agg(F.min("lo").alias("a")).select("a", F.col("rep").alias("b"))
-    links = materialize(confirmed(stars, sets))
+    links = materialize(confirmed(stars, sets, percent))
     # What shares keys, directly or through others, and isn't one component yet: all its pairs within the distance, block by block.
     groups = components(members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct())
     parts = components(links).select(F.col("id").alias("rep"), F.col("component").alias("part"))
@@ -206,7 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part")
     rows = pairs.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
     sorted_ = rows.select("grp", "i", "j", "block", "rep", "part", "sig", "found").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "rep")
-    links = links.unionByName(joining_links(sorted_))
+    links = links.unionByName(joining_links(sorted_, percent, chunks))
     found = components(links)
     classes = reps.join(found, reps.rep == found.id, "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("c"))
     out = signed.join(classes, signed.print == classes.p, "left")
