@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and the SQL that must give the same rows."""
+"""The registered queries of the thirteen operators and the SQL that must give the same rows."""
 from __future__ import annotations
 
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spatialqa.llm import bpe, edits, hamming, licenses, mixture, ogg, packing, subspace, superkmers, zstd_quality
+from spatialqa.llm import bpe, edits, filter_audit, hamming, licenses, mixture, ogg, packing, subspace, superkmers, vector_codes, zstd_quality
 from spatialqa.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,53 @@ def op5_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = edits.count_edits(docs.withColumn("edits", edits.revisions()), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "n_before", "n_after", "n_edits", "chars_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove in each of their orders, by source."""
+    return filter_audit.audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+firsts as (select t, min(doc_id) as lo from w group by t),
+g as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by doc_id),
+f as (select w.part, coalesce(good, 0) as good, coalesce(bad, 0) as bad,
+      [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+       regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > lo, false)] as fails from w join firsts using (t) left join g using (doc_id)),
+c as (select part, fails, count(*) as n, sum(good) as good, sum(bad) as bad from f group by part, fails),
+o as (select [a, b, c, d, e] as o from unnest(range(5)) t1(a), unnest(range(5)) t2(b), unnest(range(5)) t3(c), unnest(range(5)) t4(d), unnest(range(5)) t5(e)
+      where len(list_distinct([a, b, c, d, e])) = 5),
+x as (select part, o, array_to_string(list_transform(o, lambda z: substr('ABCDE', z + 1, 1)), '') as filter_order, n, good, bad, fails,
+      coalesce(list_position(list_transform(o, lambda z: fails[z + 1]), true), 6) as gone from c, o),
+r as (select part, filter_order, step, sum(case when gone > step then n else 0 end)::bigint as kept, sum(case when gone = step then n else 0 end)::bigint as removed,
+      sum(case when gone < step and fails[o[step] + 1] then n else 0 end)::bigint as redundant,
+      sum(case when fails[o[step] + 1] and len(list_filter(fails, lambda z: z)) = 1 then n else 0 end)::bigint as unique_fails,
+      sum(case when gone = step then good else 0 end)::bigint as good_lost, sum(case when gone = step then bad else 0 end)::bigint as toxic_lost,
+      any_value(o[step]) as filter from x, unnest(range(1, 6)) s(step) group by part, filter_order, step)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, filter))::bigint as shapley from r"""
+
+
+@query
+def op13_dual_tree_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """A code of 16 parts for every vector."""
+    return vector_codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+ORACLES["op13_dual_tree_codes"] = """
+with v as (select vec_id, label, list_transform(embedding::double[], lambda t: floor(256 * t)::bigint) as x from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda t: t is null or not isfinite(t))) = 0),
+p as (select vec_id, label, i as part, list_slice(x, i * len(x) // 16 + 1, (i + 1) * len(x) // 16) as x from v, unnest(range(16)) t(i)),
+b0 as (select part, (row_number() over (partition by part order by vec_id) - 1) as entry, x from p qualify entry < 64),
+d0 as (select vec_id, part, arg_min(entry, [list_sum(list_transform(list_zip(p.x, b0.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, entry]) as entry from p join b0 using (part) group by 1, 2),
+s1 as (select part, entry, list(floor(s / n)::bigint order by j) as x from (select part, entry, j, sum(x[j]) as s, count(*) as n from p join d0 using (vec_id, part), unnest(range(1, len(x) + 1)) t(j) group by 1, 2, 3) group by 1, 2),
+b1 as (select part, entry, coalesce(s1.x, b0.x) as x from b0 left join s1 using (part, entry)),
+d1 as (select vec_id, part, arg_min(entry, [list_sum(list_transform(list_zip(p.x, b1.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, entry]) as entry from p join b1 using (part) group by 1, 2),
+s2 as (select part, entry, list(floor(s / n)::bigint order by j) as x from (select part, entry, j, sum(x[j]) as s, count(*) as n from p join d1 using (vec_id, part), unnest(range(1, len(x) + 1)) t(j) group by 1, 2, 3) group by 1, 2),
+b2 as (select part, entry, coalesce(s2.x, b1.x) as x from b1 left join s2 using (part, entry)),
+d2 as (select vec_id, any_value(label) as label, part, min([list_sum(list_transform(list_zip(p.x, b2.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, entry]) as best from p join b2 using (part) group by vec_id, part),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from b2),
+c as (select vec_id, any_value(label) as label, string_agg(printf('%02x', best[2]), '' order by part) as code, sum(best[1])::bigint as error from d2 group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from c, h"""
