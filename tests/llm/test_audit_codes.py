@@ -89,11 +89,12 @@ def test_assignment_and_cached_sums(n, entries, kind):
 
 
 def test_whole_nodes_are_assigned_without_comparing_parts(monkeypatch):
-    points = np.repeat(np.array([[0, 0], [1000, 1000], [5000, 0]]), 500, axis=0) + np.random.default_rng(1).integers(0, 9, (1500, 2))
+    centres = np.array([[0, 0], [1000, 1000], [5000, 0], [0, 9000]])
+    points = np.repeat(centres, 500, axis=0) + np.random.default_rng(1).integers(0, 9, (2000, 2))
     compared, plain = [], np.argmin
     monkeypatch.setattr(vector_codes.np, "argmin", lambda x, axis: compared.append(len(x)) or plain(x, axis=axis))
-    assert (vector_codes.assign(points, np.array([[0, 0], [1000, 1000], [5000, 0]])) == np.repeat([0, 1, 2], 500)).all()
-    assert sum(compared) <= 2 * vector_codes.LEAF  # leaves that hold two clusters
+    assert (vector_codes.assign(points, centres) == np.repeat([0, 1, 2, 3], 500)).all()
+    assert sum(compared) <= 3 * vector_codes.LEAF  # leaves that hold two clusters
 
 
 def codes_by_loop(rows):
