@@ -5,7 +5,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spatialqa.llm import bpe, edits, filter_audit, hamming, licenses, mixture, ogg, packing, subspace, superkmers, vector_codes, zstd_quality
+from spatialqa.llm import bpe, edits, filter_audit, hamming, licenses, mixture, ogg, packing, private, subspace, superkmers, vector_codes, zstd_quality
 from spatialqa.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,12 @@ d2 as (select vec_id, any_value(label) as label, part, min([list_sum(list_transf
 h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from b2),
 c as (select vec_id, any_value(label) as label, string_agg(printf('%02x', best[2]), '' order by part) as code, sum(best[1])::bigint as error from d2 group by vec_id)
 select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from c, h"""
+
+
+@query
+def op12_private_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = private.find(docs, private.learn(docs))
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == private.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n, private.KINDS), F.sha2(private.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), private.written(F.col("spans")).alias("spans"))
