@@ -69,7 +69,7 @@ class Writer:
 
     def add(self, row: tuple) -> pa.RecordBatch | None:
         self.rows.append(row)
-        self.bytes += 64 + sum(len(v) for v in row if isinstance(v, (bytes, str, list)))
+        self.bytes += 64 + sum(len(v) if isinstance(v, (bytes, str, list)) else getattr(v, "nbytes", 0) for v in row)
         return self.rest() if len(self.rows) >= 20 * BATCH_ROWS or self.bytes >= BATCH_BYTES else None
 
     def rest(self) -> pa.RecordBatch | None:

@@ -3,7 +3,14 @@
 A signature has ``CHUNKS`` chunks of ``SYMBOLS`` minima, ``BITS`` bits of each, one long a
 chunk. Two signatures that differ in at most ``DISTANCE`` symbols differ, by the pigeonhole
 principle, in at most one symbol of some chunk; so each chunk gives one key for each symbol
-left out, and all such pairs share a key. Links are confirmed on the full shingle sets.
+left out, and all such pairs share a key. Pairs come from the join on keys alone, whose
+condition is the distance of the signatures, and links are confirmed on the full sets.
+
+Near copies would give a key all their pairs. Each document is therefore first compared with
+the nearest of those that come first in one of its keys; if they are linked, that one is its centre, at a known
+Jaccard distance. Only centres of parts that aren't joined yet meet over the keys. The
+Jaccard distance is a metric, so members of two centres can be linked only where the distance
+of the centres is at most the threshold's and theirs together; just these meet as well.
 """
 from __future__ import annotations
 
@@ -13,10 +20,9 @@ from math import comb
 from typing import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spatialqa.llm.common import Writer, fields, flat_map, materialize, slices, squeezed, text_of
+from spatialqa.llm.common import discard, fields, flat_map, materialize, squeezed, text_of
 from spatialqa.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -45,9 +51,9 @@ def chunks_for(percent: int) -> int:
 
 CHUNKS = chunks_for(PERCENT)
 DISTANCE = distance(CHUNKS)
-LOW = sum(1 << (BITS * i) for i in range(SYMBOLS))
-#: Documents of one block; two blocks and their sets meet in one task.
-BLOCK = 400
+#: The highest bit of each symbol, and the others.
+HIGH = sum(1 << (BITS * i + BITS - 1) for i in range(SYMBOLS))
+REST = (1 << BITS * SYMBOLS) - 1 - HIGH
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,88 +119,96 @@ def keys(sig: Column, chunks: int = CHUNKS) -> Column:
     return F.array(*out)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Symbols in which the signatures (rows) of ``a`` and ``b`` differ."""
-    total = np.zeros((len(a), len(b)), np.uint8)
-    for c in range(a.shape[1]):
-        x = a[:, c, None] ^ b[None, :, c]
-        x |= x >> np.uint64(6)
-        x |= x >> np.uint64(3)  # the bits of a symbol gather in its lowest three
-        total += np.bitwise_count((x | x >> np.uint64(1) | x >> np.uint64(2)) & np.uint64(LOW))
-    return total
+def errors(chunks: int) -> list[Column]:
+    """For each chunk the symbols in which the signatures of the rows ``x`` and ``y`` of a join differ."""
+    out = []
+    for c in range(chunks):
+        d = F.col(f"x.s{c}").bitwiseXOR(F.col(f"y.s{c}"))
+        # A symbol's highest bit is set, or gets a carry from the others, if any of its bits is.
+        out.append(F.bit_count((d.bitwiseAND(F.lit(REST)) + F.lit(REST)).bitwiseOR(d).bitwiseAND(F.lit(HIGH))))
+    return out
 
 
-def joining_links(rows: DataFrame, percent: int = PERCENT, chunks: int = CHUNKS) -> DataFrame:
-    """Links that join parts within each pair of blocks; ``rows`` (grp, i, j, block, rep, part, sig, found) comes sorted.
+def symbols(chunks: int) -> list[Column]:
+    return [F.col("sig")[c].alias(f"s{c}") for c in range(chunks)]
 
-    Every pair within the distance is looked at, the nearest first; one whose ends are
-    joined already needs no look at its sets.
-    """
-    schema = fields("a long,b long")
-
-    def linked(members: list[tuple]) -> Iterator[tuple]:
-        above: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := above.get(x, x)) != x:
-                above[x] = above.get(up, up)
-                x = up
-            return x
-
-        low = min(m[0] for m in members)
-        left = [m for m in members if m[0] == low]
-        right = [m for m in members if m[0] != low] or left
-        sig = lambda side: np.array([m[3] for m in side], np.int64).view(np.uint64)
-        far = distances(sig(left), sig(right))
-        i, j = np.nonzero(far <= distance(chunks))
-        if left is right:
-            once = i < j
-            i, j = i[once], j[once]
-        part = [np.array([m[2] for m in side]) for side in (left, right)]
-        across = part[0][i] != part[1][j]
-        i, j = i[across], j[across]
-        order = np.argsort(far[i, j], kind="stable")
-        found: dict[int, set] = {}
-        for x, y in zip(i[order].tolist(), j[order].tolist()):
-            (_, a, p, _, s), (_, b, q, _, t) = left[x], right[y]
-            small, large = sorted((len(s), len(t)))
-            if 100 * small < percent * large or root(p) == root(q):
-                continue
-            for rep, values in ((a, s), (b, t)):
-                if rep not in found:
-                    found[rep] = set(values)
-            shared = len(found[a] & found[b])
-            if 100 * shared >= percent * (small + large - shared):
-                above[max(root(p), root(q))] = min(root(p), root(q))
-                yield min(a, b), max(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, group, members = Writer(schema), None, []
-        for batch in batches:
-            for piece in slices(batch):
-                for grp, i, j, *rest in zip(*[c.to_pylist() for c in piece.columns]):
-                    if (grp, i, j) != group:
-                        for pair in linked(members) if members else ():
-                            if (full := out.add(pair)) is not None:
-                                yield full
-                        group, members = (grp, i, j), []
-                    members.append(tuple(rest))
-        for pair in linked(members) if members else ():
-            if (full := out.add(pair)) is not None:
-                yield full
-        if (rest_ := out.rest()) is not None:
-            yield rest_
-
-    return rows.mapInArrow(run, schema)
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+
+@lru_cache
+def allowed(chunks: int) -> tuple[int, ...]:
+    """For Jaccard distances of 0, 1, ... 100 percent the symbols that differ in no more than ``MISSED`` of the pairs beyond."""
+    n, out = chunks * SYMBOLS, []
+    for percent in range(101):
+        p, d, tail = percent / 100, n, 0.0
+        while d > 0 and (tail := tail + comb(n, d) * p ** d * (1 - p) ** (n - d)) <= MISSED:
+            d -= 1
+        out.append(d)
+    return tuple(out)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) with ``far``, the Jaccard distance of their sets, and whether they are ``linked``."""
     left, right = sets.select(F.col("id").alias("a"), F.col("found").alias("x")), sets.select(F.col("id").alias("b"), F.col("found").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    fits = 100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(fits).where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, shared.alias("_shared"), (F.size("x") + F.size("y")).alias("_all"))
+    union = F.col("_all") - F.col("_shared")
+    return both.select(*pairs.columns, (1 - F.col("_shared") / union).alias("far"), (100 * F.col("_shared") >= percent * union).alias("linked"))
+
+
+def nearest_first(members: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """Each document b with the nearest by signature (a) of those that come first in a key of it; well within the threshold, the smallest."""
+    signed = reps.select("rep", *symbols(chunks))
+    x = members.where("rep > lo").select("rep", "lo").distinct().join(signed, "rep")
+    far = sum(errors(chunks), F.lit(0))
+    pairs = x.alias("x").join(signed.alias("y"), (F.col("x.lo") == F.col("y.rep")) & (far <= distance(chunks)))
+    well = chunks * SYMBOLS * (100 - percent) // 200
+    best = pairs.groupBy(F.col("x.rep").alias("b")).agg(F.min(F.struct(F.greatest(far, F.lit(well)).alias("far"), F.col("x.lo").alias("a"))).alias("m"))
+    return best.select("m.a", "b")
+
+
+def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """Pairs a < b of centres of two parts with a key in common whose signatures are near enough, with their radii; ``tips`` has (key, centre, part, n, radius, s0, s1, ...)."""
+    least = (100 - percent) / 100
+    reach = F.least(F.ceil(100 * (least + F.col("x.radius") + F.col("y.radius")) - 1e-6), F.lit(100)).cast("int")
+    near = sum(errors(chunks), F.lit(0)) <= F.get(F.array(*map(F.lit, allowed(chunks))), reach)
+    sizes = (F.col("x.radius") + F.col("y.radius") > 0) | (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.part") != F.col("y.part")) & sizes & near
+    pairs = tips.alias("x").join(tips.alias("y"), on)
+    return pairs.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max("x.radius").alias("ra"), F.max("y.radius").alias("rb"))
+
+
+def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked; ``open_`` has (key, rep, centre, away)."""
+    of = lambda side: (open_.join(rest.select(F.col(side).alias("centre"), F.col("a").alias("ca"), F.col("b").alias("cb"), "far"), "centre")
+                       .join(reps.select("rep", "n", *symbols(chunks)), "rep"))
+    least = (100 - percent) / 100
+    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.ca") == F.col("y.ca")) & (F.col("x.cb") == F.col("y.cb"))
+          & (F.col("x.away") + F.col("y.away") + least >= F.col("x.far") - 1e-9) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+          & (sum(errors(chunks), F.lit(0)) <= distance(chunks)))
+    pairs = of("a").alias("x").join(of("b").alias("y"), on)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
+
+
+def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """Links (a, b), enough of them to give all components; ``members`` has (key, rep, lo), lo the smallest rep of the key."""
+    starred = materialize(compared(nearest_first(members, reps, percent, chunks), sets, percent).where("linked").select("a", "b", "far"))
+    parts = components(starred)
+    placed = (reps.select("rep").join(starred.select(F.col("b").alias("rep"), F.col("a").alias("centre"), F.col("far").alias("away")), "rep", "left")
+              .join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left")
+              .select("rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("part", "rep").alias("part")))
+    placed = materialize(placed)
+    there = members.select("key", "rep").join(placed, "rep")
+    apart = there.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    open_ = materialize(there.join(apart, "key"))
+    radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
+    tips = open_.select("key", "centre", "part").distinct().join(radius, "centre").join(reps.select(F.col("rep").alias("centre"), "n", *symbols(chunks)), "centre")
+    met = materialize(compared(met_centres(tips, percent, chunks), sets, percent))
+    links = starred.select("a", "b").unionByName(met.where("linked").select("a", "b"))
+    least = (100 - percent) / 100
+    rest = met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("far") - 1e-9 <= least + F.col("ra") + F.col("rb")))
+    more = materialize(compared(met_members(open_, rest.select("a", "b", "far"), reps, percent, chunks), sets, percent).where("linked").select("a", "b"))
+    all_ = materialize(links.unionByName(more))
+    discard(starred, placed, open_, met, more)
+    return all_
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,24 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def start() -> Callable[..., Iterator[tuple]]:
         import zstandard
         press = zstandard.ZstdDecompressor()
-        return lambda doc, z: [(doc, shingles(press.decompress(z)).astype(np.int64).tolist())]
+        return lambda doc, z: [(doc, shingles(press.decompress(z)).view(np.int64))]
 
     sets = materialize(flat_map(squeezed(docs).join(wanted, "doc_id").select("doc_id", "z"), start, fields("id long,found longs")))
-    # Each document with the smallest one it shares a key with: settles most groups with one pair a document.
-    stars = members.where("rep > lo").groupBy("rep").agg(F.min("lo").alias("a")).select("a", F.col("rep").alias("b"))
-    links = materialize(confirmed(stars, sets, percent))
-    # What shares keys, directly or through others, and isn't one component yet: all its pairs within the distance, block by block.
-    groups = components(members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct())
-    parts = components(links).select(F.col("id").alias("rep"), F.col("component").alias("part"))
-    placed = groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")).join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    open_ = (placed.groupBy("grp").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
-             .select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    dealt = (placed.join(open_, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .select("grp", "rep", "part", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
-    pairs = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part")
-    rows = pairs.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    sorted_ = rows.select("grp", "i", "j", "block", "rep", "part", "sig", "found").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "rep")
-    links = links.unionByName(joining_links(sorted_, percent, chunks))
+    links = joining_links(members, reps, sets, percent, chunks)
+    discard(members, sets)
     found = components(links)
     classes = reps.join(found, reps.rep == found.id, "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("c"))
     out = signed.join(classes, signed.print == classes.p, "left")

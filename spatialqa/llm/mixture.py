@@ -23,10 +23,15 @@ PENALTY = 6.0
 #: Languages whose counts a task holds before it hands them on, and likelihoods it computes at once.
 HELD, AT_ONCE = 32, 800_000
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers such as fractions, which aren't.
+LETTER_LIKE = re.compile(r"[^\W\d_]")
 K = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER_LIKE.finditer(text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """The buckets of all byte trigrams of the lower-cased text with a space at each end."""
     b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -50,7 +55,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 found: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(*[c.to_pylist() for c in part.columns]):
-                    if text and HAS_LETTER.search(text):
+                    if text and has_letter(text):
                         found.setdefault(lang, []).append(trigrams(text))
                 for lang, grams in found.items():
                     if lang not in held and len(held) >= HELD:
@@ -146,7 +151,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
                 grams: list[np.ndarray] = []
                 much = 0
                 for i, text in enumerate([*texts, None]):
-                    if len(likelihoods) and text and HAS_LETTER.search(text):
+                    if len(likelihoods) and text and has_letter(text):
                         wait.append(i)
                         grams.append(trigrams(text))
                         much += len(grams[-1])

@@ -144,7 +144,7 @@ def later_windows(strings: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and ``kept`` (the words that stay, joined by one space) of each row of ``docs``.
+    """doc_id, n_words, n_removed, ``kept`` (the words that stay, joined by one space) and text_sha256 of each row of ``docs``.
 
     A word goes when a window that covers it also starts in a document with a smaller
     doc_id; windows are judged on the input. A null text has no words. Rows with a null id,
@@ -169,10 +169,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     removed = later_windows(strings).unionByName(again).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def start() -> Callable[..., Iterator[tuple]]:
+        import zstandard
+        press = zstandard.ZstdDecompressor()
+
         def one(doc: int | None, z: bytes, starts: list[int] | None) -> Iterator[tuple]:
-            words = unpacked(z)
+            raw = press.decompress(z)
+            words, name = words_of(raw), hashlib.sha256(raw).hexdigest()
             if not starts:
-                yield doc, len(words), 0, b" ".join(words).decode()
+                yield doc, len(words), 0, b" ".join(words).decode(), name
                 return
             edges = np.zeros(len(words) + 1, np.int64)
             at = np.unique(np.array(starts, np.int64))
@@ -180,8 +184,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             edges[at] += 1
             edges[at + WINDOW] -= 1
             gone = np.cumsum(edges)[:-1] > 0
-            yield doc, len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()
+            yield doc, len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode(), name
         return one
 
     joined = texts.join(removed, texts.id == removed.doc_id, "left").select("id", "z", "starts")
-    return flat_map(joined, start, fields("doc_id long,n_words long,n_removed long,kept string"))
+    return flat_map(joined, start, fields("doc_id long,n_words long,n_removed long,kept string,text_sha256 string"))

@@ -1,6 +1,8 @@
 """Near duplicates at thresholds other than op9's, next to all pairs."""
 import random
 
+import pytest
+
 import corpus_pipeline
 from spatialqa.llm import hamming
 
@@ -30,3 +32,76 @@ def test_stage_links_from_080_and_op9_from_085(spark):
         assert linked == {2 * i + 1 for i, s in enumerate(shares) if s >= percent / 100}
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i, s in enumerate(shares) if s < 0.8}
+
+
+def linked_by_loop(rows, percent):
+    sets = {i: set(hamming.shingles(t.encode()).tolist()) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and (p := root(i)) != (q := root(j)):
+                up[max(p, q)] = min(p, q)
+    return {i: root(i) for i in sets}
+
+
+def families(seed):
+    """Groups of near copies around texts that are less alike, and bridges between members only."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, base = [], [word() for _ in range(200)]
+    for family in range(8):
+        start = list(base)
+        for i in range(rng.randint(0, 60)):
+            start[i] = word()
+        for _ in range(9):
+            text = list(start)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(200)] = word()
+            rows.append(" ".join(text))
+        for cut in range(0, 60, 12):  # steps from one family towards the next
+            rows.append(" ".join([*start[:cut], *base[cut:]]))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("percent, seed", [(80, 1), (85, 2), (80, 3)])
+def test_families_and_bridges(spark, percent, seed):
+    rows = families(seed)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in hamming.near_duplicates(frame, percent).collect()} == linked_by_loop(rows, percent)
+
+
+@pytest.mark.parametrize("percent", [80])
+def test_documents_that_share_a_part_make_no_pairs(spark, percent, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(142)]
+    rows = [(i, " ".join([*common, *(word() for _ in range(162))])) for i in range(1500)]
+    assert 0.28 < similar(rows[0][1], rows[1][1]) < 0.32
+    seen, plain = [], hamming.compared
+    monkeypatch.setattr(hamming, "compared", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    assert all(r.kept for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect())
+    assert seen[0] < 1500 and seen[1:] == [0, 0]  # one with its key's smallest, then none within the distance
+
+
+def test_many_near_copies_meet_once(spark, monkeypatch):
+    """Two large groups that are alike but not linked: one pair of centres, not all pairs of members."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    one = [word() for _ in range(400)]
+    two = [*(word() for _ in range(60)), *one[60:]]
+    rows = []
+    for i in range(300):
+        text = list((one, two)[i % 2])
+        text[rng.randrange(400)] = word()
+        rows.append((i, " ".join(text)))
+    seen, plain = [], hamming.compared
+    monkeypatch.setattr(hamming, "compared", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    found = {r.doc_id: r.component_id for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert found == linked_by_loop(rows, 85) and sum(seen) < 600
