@@ -309,7 +309,8 @@ def merged(spark: SparkSession, folder: str) -> DataFrame:
 GROWN_SQL = """{'id': k.id, 'l': least(k.l,c.l), 't': least(k.t,c.t), 'r': greatest(k.r,c.r), 'b': greatest(k.b,c.b), 'px': list_distinct(list_concat(k.px,c.px))}"""
 
 
-@query("fused_masks", with_views(f"""with recursive px as (select det_id, list((y*10000+p)::int) as px from (select det_id, y, unnest(range(x0::bigint,x1::bigint)) as p from fx_runs) group by 1),
+#: The fold of masks in order: each step's row ``c``, the kept masks before it and the place of the one it joins.
+MASK_STEPS_SQL = f"""with recursive px as (select det_id, list((y*10000+p)::int) as px from (select det_id, y, unnest(range(x0::bigint,x1::bigint)) as p from fx_runs) group by 1),
 rows_ as (select scene_id, category, row_number() over (partition by scene_id, category order by confidence desc, seq) as rn,
   {{'id': det_id, 'l': x, 't': y, 'r': x+w, 'b': y+h, 'px': px}} as c from fx_shapes join px using (det_id)),
 hits as (select scene_id, category, rn, c, list_filter([c], lambda k: false) as kept, null::bigint as hit from rows_ where rn = 1
@@ -317,7 +318,10 @@ hits as (select scene_id, category, rn, c, list_filter([c], lambda k: false) as
   select r.scene_id, r.category, r.rn, r.c, t.kept, list_position(list_transform(t.kept, lambda k: case when least(k.r,c.r) > greatest(k.l,c.l) and least(k.b,c.b) > greatest(k.t,c.t)
     then len(list_intersect(k.px,c.px))/(len(list_distinct(list_concat(k.px,c.px))))::double >= 0.5 else false end), true)::bigint
   from (select scene_id, category, rn, case when hit is null then list_append(kept, c) else list_transform(kept, lambda k, i: case when i = hit then {GROWN_SQL} else k end) end as kept from hits) t
-  join rows_ r on r.scene_id = t.scene_id and r.category = t.category and r.rn = t.rn + 1),
+  join rows_ r on r.scene_id = t.scene_id and r.category = t.category and r.rn = t.rn + 1)"""
+
+
+@query("fused_masks", with_views(MASK_STEPS_SQL + f""",
 ends as (select scene_id, category, case when hit is null then list_append(kept, c) else list_transform(kept, lambda k, i: case when i = hit then {GROWN_SQL} else k end) end as kept
   from hits where (scene_id, category, rn) in (select (scene_id, category, max(rn)) from rows_ group by scene_id, category))
 select scene_id, category, e.id as det_id, e.l as x, e.t as y, e.r-e.l as w, e.b-e.t as h, len(e.px)::bigint as pixels from (select scene_id, category, unnest(kept) as e from ends)""", "fx_runs"))
@@ -327,6 +331,14 @@ def masks(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(kept.join(pixels, "det_id", "left").select("scene_id", "category", "det_id", *"xywh", "pixels"))
 
 
+@query("mask_lineage", with_views(MASK_STEPS_SQL + """,
+joined as (select scene_id, category, rn, c.id as det_id, kept[hit].id as parent_id from hits where hit is not null)
+select scene_id, category, det_id, parent_id, 1 + row_number() over (partition by parent_id order by rn) as pos, 'mask_duplicate' as reason from joined""", "fx_runs"))
+def mask_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    _, lost, _ = U.fuse_masks(shapes(spark, folder), runs(spark, folder))
+    return tidy(lost.select("scene_id", "category", "det_id", "parent_id", "pos", "reason"))
+
+
 def _report(spark: SparkSession, folder: str, shift: float, cut: float, m: int, bad: int) -> DataFrame:
     c = F.col
     base = view(spark, folder, "fx_boxes").groupBy("scene_id").agg(

@@ -75,9 +75,9 @@ def as_table(spark, rows):
                                    *r["window"], r["cut"], r["edges"], r["look"] or None, r["parent"]) for r in rows], FUSE_SCHEMA)
 
 
-def check_fusion(spark, rows, limit):
+def check_fusion(spark, rows, tile_rows=U.TILE_ROWS):
     kept, lost, home = S.fuse(rows, U.RULES)
-    entities, members = U.fuse(as_table(spark, rows), limit=limit)
+    entities, members = U.fuse(as_table(spark, rows), tile_rows=tile_rows)
     got = {(e.det_id, e.x, e.y, e.x + e.w, e.y + e.h, round(e.confidence, 9), e.is_truncated, tuple(e.truncated_edges), e.members) for e in entities.collect()}
     sizes = [sum(1 for h in home.values() if h == i) for i in range(len(kept))]
     want = {(k["id"], *k["box"], round(k["confidence"], 9), k["cut"], tuple(k["edges"]), sizes[i]) for i, k in enumerate(kept)}
@@ -89,11 +89,29 @@ def check_fusion(spark, rows, limit):
 
 @pytest.mark.parametrize("seed", [11, 12])
 def test_fusion_equals_loop(spark, seed):
-    check_fusion(spark, detections(seed), U.LIMIT)
+    check_fusion(spark, detections(seed))
 
 
-def test_fusion_of_a_hot_group_in_parts(spark):
-    check_fusion(spark, detections(13, n=260, space=900), 40)
+@pytest.mark.parametrize("seed, n, space, tile_rows", [(13, 260, 900, 40), (16, 300, 3000, 8), (17, 300, 500, 20), (18, 400, 6000, 2)])
+def test_fusion_over_many_tiles(spark, seed, n, space, tile_rows, monkeypatch):
+    rounds, plain = [], U._on_tiles
+    monkeypatch.setattr(U, "_on_tiles", lambda rows, turn: rounds.append(turn) or plain(rows, turn))
+    check_fusion(spark, detections(seed, n=n, space=space), tile_rows)
+    assert len(rounds) > 1 or seed in (13, 17)
+
+
+def test_one_crowded_scene_folds_over_its_tiles(spark):
+    """Boxes in a chain, each touching the next ones: no tile holds the whole scene."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("det_id"), F.col("id").alias("seq"), F.lit(1).cast("long").alias("scene_id"), F.lit("a").alias("category"), (F.lit(0.3) + F.pmod(F.xxhash64("id"), F.lit(997)) / 2000).alias("confidence"),
+                                 (F.pmod(F.col("id"), F.lit(200)) * 30).alias("x"), (F.floor(F.col("id") / 200) * 30).alias("y"), F.lit(40).alias("w"), F.lit(40).alias("h"), F.lit(0).alias("wx0"), F.lit(0).alias("wy0"), F.lit(9000).alias("wx1"), F.lit(9000).alias("wy1"),
+                                 F.lit(False).alias("is_truncated"), F.array().cast("array<string>").alias("truncated_edges"))
+    tiles = U._on_tiles(U._reaching(U._collapse(U._prepared(rows))[0], U._tile_sides(rows, 500)), 0)
+    assert tiles.groupBy("tx", "ty").count().agg(F.max("count")).first()[0] < 1500
+    entities, members = U.fuse(rows, tile_rows=500)
+    whole, same = U.fuse(rows, tile_rows=n)
+    assert entities.count() == whole.count() and members.count() == n
+    assert members.exceptAll(same).count() == 0 and entities.exceptAll(whole).count() == 0
 
 
 def test_exact_copies_collapse_in_fusion(spark):
@@ -166,7 +184,7 @@ def test_places_in_the_lineage_are_unique(spark):
 
 def test_copies_above_the_top_confidence_follow_the_loop(spark):
     row = {"key": (0, "hot"), "confidence": 0.995, "box": (10, 10, 60, 60), "window": (0, 0, 256, 256), "cut": False, "edges": [], "look": [1.0], "parent": None}
-    check_fusion(spark, [{**row, "id": i, "seq": i} for i in range(5)], U.LIMIT)
+    check_fusion(spark, [{**row, "id": i, "seq": i} for i in range(5)])
 
 
 def test_top_k_of_a_hot_key(spark):
@@ -235,3 +253,52 @@ def test_rounds_leave_only_what_the_result_reads(spark):
     assert kept.count() == 40
     discard(kept)
     assert len(tables() - before) == 1
+
+
+def mask_rows(seed, n=40, space=60):
+    """Masks of a few rectangles each, some of them chained, some alone, one without pixels."""
+    r = random.Random(seed)
+    objects, runs = [], []
+    for i in range(n):
+        x, y = r.randrange(space), r.randrange(space // 3)
+        w, h = r.randrange(6, 20), r.randrange(3, 8)
+        objects.append((0, "ab"[i % 5 == 0], i, i // 2, r.choice([.5, .7, .9]), x, y, w, h, i % 7 == 0))
+        if i != 3:
+            runs += [(i, yy, x + r.randrange(3), x + w) for yy in range(y, y + h)] + [(i, y + 1, x + 2, x + w - 1)]
+    return objects, runs
+
+
+@pytest.mark.parametrize("seed, space", [(1, 60), (2, 25), (3, 400)])
+def test_mask_fusion_equals_loop(spark, seed, space):
+    objects, runs = mask_rows(seed, space=space)
+    pixels = {}
+    for i, y, x0, x1 in runs:
+        pixels.setdefault(i, set()).update((y, x) for x in range(x0, x1))
+    kept, lost = [], set()
+    for _, cat, i, seq, conf, x, y, w, h, again in sorted(objects, key=lambda o: (-o[4], o[3], o[2])):
+        box, px = [x, y, x + w, y + h], set(pixels.get(i, ()))
+        hit = next((k for k in kept if px and k["px"] and k["cat"] == cat and min(box[2], k["box"][2]) > max(box[0], k["box"][0]) and min(box[3], k["box"][3]) > max(box[1], k["box"][1])
+                    and len(px & k["px"]) / len(px | k["px"]) >= .5), None)
+        if hit is None:
+            kept.append({"id": i, "cat": cat, "box": box, "px": px, "n": 1, "again": again})
+            continue
+        b = hit["box"]
+        hit["box"], hit["px"], hit["n"], hit["again"] = [min(b[0], x), min(b[1], y), max(b[2], x + w), max(b[3], y + h)], hit["px"] | px, hit["n"] + 1, hit["again"] or again
+        lost.add((i, hit["id"], hit["n"]))
+    frame = spark.createDataFrame(objects, "scene_id long, category string, det_id long, seq long, confidence double, x long, y long, w long, h long, redetected boolean")
+    got, gone, grown = U.fuse_masks(frame, spark.createDataFrame(runs, "det_id long, y long, x0 long, x1 long"))
+    assert {(g.det_id, g.x, g.y, g.x + g.w, g.y + g.h, g.merged, g.redetected) for g in got.collect()} == {(k["id"], *k["box"], k["n"] > 1, k["again"]) for k in kept}
+    assert {(g.det_id, g.parent_id, g.pos) for g in gone.collect()} == lost
+    at = {}
+    for g in grown.collect():
+        new = {(g.y, x) for x in range(g.x0, g.x1)}
+        assert not new & at.setdefault(g.det_id, set())
+        at[g.det_id] |= new
+    assert at == {k["id"]: k["px"] for k in kept if k["px"]}
+    assert all(f.count() == 0 for f in U.fuse_masks(frame.where("false"), spark.createDataFrame([], "det_id long, y long, x0 long, x1 long")))
+
+
+def test_a_stack_of_masks_makes_no_pairs(spark):
+    objects = spark.range(300).select(F.lit(0).alias("scene_id"), F.lit("a").alias("category"), F.col("id").alias("det_id"))
+    rows = spark.range(300).select(F.col("id").alias("det_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("y"), F.lit(0).alias("x0"), (F.col("id") + 1).alias("x1"))
+    assert U.mask_links(objects, rows.select("det_id", F.col("y").cast("long"), F.col("x0").cast("long"), "x1")).count() < 300
