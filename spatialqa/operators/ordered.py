@@ -5,7 +5,6 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 1 << 21  # values of the order in a block; a task holds no more rows of a key, or blocks of it, at once
 SALTS = 32
 NATIVE_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -37,38 +36,51 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, ra
     return out if rank else out.drop(name)
 
 
+def order_ranges(df: DataFrame, order: str, ranges: int | None = None) -> list:
+    """Upper ends of ranges of ``order`` with about as many rows each; by default one range for each shuffle partition.
+
+    A sketch of the column, built in the tasks; the driver sees one value a range.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
+    return sorted(set(ends or []))
+
+
+def _range_of(order: Column, ends: list, first: int = 0) -> Column:
+    """Number of the range a value lies in, by halving."""
+    if not ends:
+        return F.lit(first)
+    middle = len(ends) // 2
+    return F.when(order > ends[middle], _range_of(order, ends[middle + 1:], first + middle + 1)).otherwise(_range_of(order, ends[:middle], first))
+
+
 def running(df: DataFrame, keys: list[str], order: str, aggs: dict[str, tuple[str, Column]],
-            exclusive: Iterable[str] = (), block: int = BLOCK, levels: int = 2) -> DataFrame:
-    """Running ``sum`` / ``count`` / ``max`` per key along an integer ``order`` column.
+            exclusive: Iterable[str] = (), ends: list | None = None) -> DataFrame:
+    """Running ``sum`` / ``count`` / ``max`` per key along an ``order`` column, as a prefix scan.
 
-    The order is cut into blocks; windows run per (key, block) and each block adds the
-    combined total of the blocks before it. Those totals are running ones too, over blocks of
-    blocks, so however far the values lie apart a task sorts at most ``block`` rows of a key.
-    ``exclusive`` names results that leave out the current row (sum starts at 0).
+    The order is cut into ranges of about equal row counts (``ends``; see ``order_ranges``), so
+    a key that holds most rows is spread over all of them. Rows are shuffled once, by (key,
+    range); windows run in there, and each range adds the combined total of those before it, of
+    which a key has no more than there are ranges. ``exclusive`` names results that leave out
+    the current row (sum starts at 0). A null order counts as lying in the first range.
     """
     kinds, merge = {"sum": F.sum, "count": F.count, "max": F.max}, {"sum": "sum", "count": "sum", "max": "max"}
-    exclusive, at = set(exclusive), f"_block{levels}"
-    cut = df.withColumn(at, F.floor(F.col(order) / F.lit(block)))
+    exclusive, at = set(exclusive), "_range"
+    cut = df.withColumn(at, _range_of(F.col(order), order_ranges(df, order) if ends is None else ends))
     for name, (_, expr) in aggs.items():
         cut = cut.withColumn(f"_in_{name}", expr)
     totals = cut.groupBy(*keys, at).agg(*(kinds[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in aggs.items()))
-    if levels > 1:
-        sums = {f"_pre_{name}": (merge[kind], F.col(f"_tot_{name}")) for name, (kind, _) in aggs.items()}
-        prefix = running(totals, keys, at, sums, sums, block, levels - 1).select(*keys, at, *sums)
-    else:
-        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-        prefix = totals.select(*keys, at, *(kinds[merge[kind]](f"_tot_{name}").over(before).alias(f"_pre_{name}") for name, (kind, _) in aggs.items()))
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select(*keys, at, *(kinds[merge[kind]](f"_tot_{name}").over(before).alias(f"_pre_{name}") for name, (kind, _) in aggs.items()))
     base = Window.partitionBy(*keys, at).orderBy(order)
-    out = cut.join(prefix, [*keys, at])
     for name, (kind, _) in aggs.items():
         frame = base.rowsBetween(Window.unboundedPreceding, -1 if name in exclusive else 0)
-        local = kinds[kind](f"_in_{name}").over(frame)
-        if kind == "max":
-            value = F.greatest(local, F.col(f"_pre_{name}"))
-        else:
-            value = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(f"_pre_{name}"), F.lit(0))
-        out = out.withColumn(name, value)
-    return out.drop(at, *(f"_in_{n}" for n in aggs), *(f"_pre_{n}" for n in aggs))
+        cut = cut.withColumn(f"_own_{name}", kinds[kind](f"_in_{name}").over(frame))
+    out = cut.join(prefix, [*keys, at])
+    for name, (kind, _) in aggs.items():
+        own, pre = F.col(f"_own_{name}"), F.col(f"_pre_{name}")
+        out = out.withColumn(name, F.greatest(own, pre) if kind == "max" else F.coalesce(own, F.lit(0)) + F.coalesce(pre, F.lit(0)))
+    return out.drop(at, *(f"_{part}_{n}" for n in aggs for part in ("in", "own", "pre")))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:

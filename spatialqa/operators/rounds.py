@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spatialqa.operators.ordered import first_per, running
+from spatialqa.operators.ordered import first_per, order_ranges, running
 from spatialqa.session import materialize
 
 MIN_GAIN, PATIENCE, MAX_ROUNDS, MAX_OBJECTS, TARGET = 0.002, 2, 3, 300, 0.85
@@ -13,14 +13,14 @@ def round_progress(rounds: DataFrame, min_gain: float = MIN_GAIN, keys: list[str
     """Adds ``gain, stalled, no_progress`` (length of the current stall) and, with ``retries``, their running total.
 
     ``rounds(scene_id, round, coverage, new_accepted)``. The previous coverage and the last
-    round that made progress are running maxima, so long histories stay in blocks.
+    round that made progress are running maxima, so a long history is spread over the ranges of a scan.
     """
-    last = F.struct("round", "coverage")
-    seen = running(rounds, keys, "round", {"_last": ("max", last), "_nth": ("count", F.lit(1))}, exclusive=["_last"])
+    last, ends = F.struct("round", "coverage"), order_ranges(rounds, "round")
+    seen = running(rounds, keys, "round", {"_last": ("max", last), "_nth": ("count", F.lit(1))}, exclusive=["_last"], ends=ends)
     gain = F.col("coverage") - F.coalesce(F.col("_last.coverage"), F.lit(0.0))
     seen = seen.withColumn("gain", gain).withColumn("stalled", (F.col("new_accepted") == 0) | (F.col("gain") < min_gain)).drop("_last")
     extra = {"total_retries": ("sum", F.col("retries"))} if "retries" in rounds.columns else {}
-    out = running(seen, keys, "round", {"_moved": ("max", F.when(~F.col("stalled"), F.col("_nth"))), **extra})
+    out = running(seen, keys, "round", {"_moved": ("max", F.when(~F.col("stalled"), F.col("_nth"))), **extra}, ends=ends)
     return out.withColumn("no_progress", (F.col("_nth") - F.coalesce("_moved", F.lit(0))).cast("bigint")).drop("_nth", "_moved")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spatialqa.functions import taxonomy
 from spatialqa.functions.boxes import Box, half_even
-from spatialqa.operators.ordered import first_per, running
+from spatialqa.operators.ordered import first_per, order_ranges, running
 
 RETRY_SOURCES = ("redetection", "gap_fill")
 
@@ -69,9 +69,10 @@ def scan_plan(requests: DataFrame, keys: list[str] = ["scene_id"], max_calls: in
     spent = F.lit(0) if used_calls is None else used_calls
     spent_retry = F.lit(0) if used_retry is None else used_retry
     retry = F.col("source").isin(*RETRY_SOURCES).cast("bigint")
-    ranked = running(requests, keys, "seq", {"_retry_rank": ("sum", retry)})
+    ends = order_ranges(requests, "seq")
+    ranked = running(requests, keys, "seq", {"_retry_rank": ("sum", retry)}, ends=ends)
     eligible = (F.col("_retry_rank") + spent_retry <= max_retry) | (retry == 0)
-    counted = running(ranked.withColumn("_eligible", eligible), keys, "seq", {"_calls": ("sum", F.col("_eligible").cast("bigint"))})
+    counted = running(ranked.withColumn("_eligible", eligible), keys, "seq", {"_calls": ("sum", F.col("_eligible").cast("bigint"))}, ends=ends)
     admitted = F.col("_eligible") & (F.col("_calls") + spent <= max_calls)
     return counted.withColumn("status", F.when(admitted, "ok").otherwise("budget_exhausted")).drop("_retry_rank", "_eligible", "_calls")
 

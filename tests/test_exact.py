@@ -10,7 +10,7 @@ from spatialqa.operators.detections import assign_ids
 from spatialqa.operators.evaluate import match_gt
 from spatialqa.operators.layers import layer_order
 from spatialqa.operators.nms import nms
-from spatialqa.operators.ordered import running, top_k
+from spatialqa.operators.ordered import _range_of, order_ranges, running, top_k
 from spatialqa.operators.overlap import overlap_join
 from spatialqa.operators.tiles import scan_plan
 
@@ -156,7 +156,7 @@ def test_budget_equals_loop(spark):
 
 def test_running_totals_in_blocks(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("seq"), (F.col("id") % 7).alias("v"))
-    out = running(df, ["k"], "seq", {"s": ("sum", F.col("v")), "m": ("max", F.when(F.col("v") == 0, F.col("seq"))), "n": ("count", F.lit(1))}, exclusive=["m"], block=64).orderBy("seq").collect()
+    out = running(df, ["k"], "seq", {"s": ("sum", F.col("v")), "m": ("max", F.when(F.col("v") == 0, F.col("seq"))), "n": ("count", F.lit(1))}, exclusive=["m"], ends=order_ranges(df, "seq", 37)).orderBy("seq").collect()
     total, last = 0, None
     for i, row in enumerate(out):
         total += i % 7
@@ -166,7 +166,8 @@ def test_running_totals_in_blocks(spark):
 
 def test_running_totals_over_a_sparse_order(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), (F.col("id") * F.col("id") * 1_000_003).alias("seq"), F.lit(1).alias("v"))
-    out = running(df, ["k"], "seq", {"n": ("sum", F.col("v"))}, block=64)
+    out = running(df, ["k"], "seq", {"n": ("sum", F.col("v"))}, ends=order_ranges(df, "seq", 50))
+    assert df.groupBy(_range_of(F.col("seq"), order_ranges(df, "seq", 50))).count().agg(F.max("count")).first()[0] < 200
     assert [r.n for r in out.orderBy("seq").collect()] == list(range(1, 5001))
 
 
