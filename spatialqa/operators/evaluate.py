@@ -141,13 +141,18 @@ def size_class(box: Box, scene_area: Column, small: float = 0.001, large: float
     return F.when(ratio < small, "small").when(ratio >= large, "large").otherwise("medium")
 
 
+SIZE_CLASSES = ("small", "medium", "large")
+
+
 def scores_by_size(gt: DataFrame, matches: DataFrame, scene_area: Column, scene: str = "scene_id") -> DataFrame:
-    """Recall per size class, per scene and over the corpus (null scene)."""
+    """Recall per size class, per scene and over the corpus (null scene); a class without objects has 0 of 0 and a null recall."""
     hit = matches.select(scene, "gt_id", F.lit(1).alias("_hit"))
     marked = gt.withColumn("size_class", size_class(Box.of(), scene_area)).join(hit, [scene, "gt_id"], "left")
-    out = marked.groupingSets([[F.col(scene), F.col("size_class")], [F.col("size_class")]], F.col(scene), F.col("size_class")).agg(
-        F.count(F.lit(1)).alias("gt"), F.count("_hit").alias("detected"))
-    return out.withColumn("recall", F.col("detected") / F.col("gt"))
+    rows = marked.select(scene, "size_class", F.lit(1).alias("_gt"), F.coalesce("_hit", F.lit(0)).alias("_hit"))
+    empty = gt.select(scene).distinct().select(scene, F.explode(F.array(*map(F.lit, SIZE_CLASSES))).alias("size_class"), F.lit(0).alias("_gt"), F.lit(0).alias("_hit"))
+    out = rows.unionByName(empty).groupingSets([[F.col(scene), F.col("size_class")], [F.col("size_class")]], F.col(scene), F.col("size_class")).agg(
+        F.sum("_gt").cast("bigint").alias("gt"), F.sum("_hit").cast("bigint").alias("detected"))
+    return out.withColumn("recall", F.try_divide("detected", "gt"))
 
 
 def evaluated_runs(runs: DataFrame, roi: DataFrame | None = None, ignore: DataFrame | None = None) -> DataFrame:
@@ -222,6 +227,12 @@ def boundary_f(pairs: DataFrame, gt_runs: DataFrame, pred_runs: DataFrame, toler
     return out.select(*key, (2 * recall * precision / F.greatest(F.lit(1e-12), recall + precision)).alias("boundary_fscore"))
 
 
+def poor_masks(quality: DataFrame, poor: float = 0.5) -> DataFrame:
+    """The pairs whose masks agree less than ``poor``, worst first within a scene by ``iou``; one row each."""
+    ids = [c for c in ("scene_id", "gt_id", "pred_id") if c in quality.columns]
+    return quality.filter(F.col("iou") < poor).select(*ids, "iou")
+
+
 def quality_means(quality: DataFrame, keys: list[str] = ["scene_id"], poor: float = 0.5) -> DataFrame:
     names = [c for c in ("iou", "dice", "boundary_fscore", "completeness", "contamination") if c in quality.columns]
     return quality.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in names), F.count(F.lit(1)).alias("matches"),

@@ -148,3 +148,49 @@ def roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     _, rows = A.read_manifest_rows(spark, path)
     every = A.upgrade_rows(rows).select("scene_id", "kind", "object.*")
     return tidy(every.groupBy(F.col("scene_id").cast("bigint").alias("scene_id")).agg(F.count_if(F.col("kind") == "objects").alias("objects"), F.count_if(F.col("kind") == "environment_effects").alias("effects"), F.sum("geometry.visible_bbox.x").alias("x"), F.min("asset_path").alias("first_asset")))
+
+
+def _values(rows: list[tuple]) -> str:
+    """SQL rows of fixed values."""
+    text = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ",".join("(" + ",".join(map(text, row)) + ")" for row in rows)
+
+
+_LAYERS = [(i, group, name) for i, group in enumerate(taxonomy.MEMBERS) for name in taxonomy.layer_members(group)]
+_GROUPS = [(name, group) for group, names in taxonomy.GROUP_MEMBERS.items() for name in names]
+_PROMPTS = [(i, group, name) for i, (group, names) in enumerate(taxonomy.PROMPT_GROUPS.items()) for name in names]
+
+
+@query("boxes_by_dimension", with_views(f"""with g as (select * from (values {_values(_GROUPS)}) t(category, grp)), l as (select * from (values {_values(_LAYERS)}) t(layer_order, layer, category)),
+p as (select category, count(*) as prompts, min(group_order) as first_prompt from (values {_values(_PROMPTS)}) t(group_order, prompt_group, category) group by 1),
+s as (select * from (values {_values(list(taxonomy.SOLID_TERRAIN.items()))}) t(category, terrain_class))
+select scene_id, category, grp, layer_order::bigint as layer_order, layer, terrain_class, coalesce(prompts, 0) as prompts, first_prompt::bigint as first_prompt, count(*) as boxes from fx_boxes left join g using (category) left join l using (category) left join p using (category) left join s using (category) group by all""", "fx_boxes"))
+def boxes_by_dimension(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes by the dimension tables of the taxonomy, which are joined like any other."""
+    d = taxonomy.dims(spark)
+    prompts = d["dim_prompt_group"].groupBy("category").agg(F.count(F.lit(1)).alias("prompts"), F.min("group_order").alias("first_prompt"))
+    out = view(spark, folder, "fx_boxes").select("scene_id", "category")
+    for side in (d["dim_category"], d["dim_layer"], prompts, d["dim_terrain"]):
+        out = out.join(side, "category", "left")
+    keys = ["scene_id", "category", "grp", "layer_order", "layer", "terrain_class", F.coalesce("prompts", F.lit(0)).alias("prompts"), "first_prompt"]
+    return tidy(out.groupBy(*keys).agg(F.count(F.lit(1)).alias("boxes")))
+
+
+@query("tables_roundtrip", with_views("""select 'boxes' as name, scene_id, count(*) as n, sum(x + y + w + h)::bigint as total from fx_boxes group by 2
+union all select 'truth', scene_id, count(*), sum(x + y + w + h)::bigint from fx_gt group by 2""", "fx_boxes", "fx_gt"))
+def tables_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables written side by side and read again."""
+    where = f"{scratch_folder(spark).rstrip('/')}/tables-{os.urandom(8).hex()}"
+    A.write_tables({"boxes": view(spark, folder, "fx_boxes"), "truth": view(spark, folder, "fx_gt")}, where)
+    read = lambda name: spark.read.parquet(f"{where}/{name}").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") + F.col("y") + F.col("w") + F.col("h")).alias("total")).withColumn("name", F.lit(name))
+    return tidy(read("boxes").unionByName(read("truth")).select("name", "scene_id", "n", "total"))
+
+
+@query("scene_objects", with_views("""select scene_id, category, (x//256)::bigint as place, count(*) > 1 as merged, count(*)::bigint as sources, min(det_id) as first_source, max(det_id) as last_source
+from fx_detections group by 1, 2, 3""", "fx_detections"))
+def scene_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates with the observations that support them, as scene objects."""
+    seen = view(spark, folder, "fx_detections").withColumn("place", F.floor(F.col("x") / 256))
+    rows = seen.groupBy("scene_id", "category", "place").agg(F.collect_list(F.struct(F.col("det_id").alias("id"), "confidence")).alias("observations"))
+    out = D.to_objects(rows).withColumn("ids", F.array_sort("source_candidates"))
+    return tidy(out.select("scene_id", "category", "place", "merged", F.size("ids").alias("sources"), F.get("ids", F.lit(0)).alias("first_source"), F.element_at("ids", -1).alias("last_source")))

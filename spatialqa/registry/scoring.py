@@ -144,8 +144,9 @@ def corpus_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("scores_by_size", with_views(MATCH_SQL.rstrip() + """, g as (select gt.scene_id, gt_id, case when w*h/2160000.0 < 0.001 then 'small' when w*h/2160000.0 >= 0.05 then 'large' else 'medium' end as size_class,
-  exists (select 1 from out o where o.gt_id = gt.gt_id) as hit from gt)
-select scene_id, size_class, count(*) as gt, count(*) filter (hit) as detected, round(count(*) filter (hit)/count(*)::double,6) as recall from g group by grouping sets ((scene_id, size_class), (size_class))""", "fx_boxes", "fx_gt"))
+  exists (select 1 from out o where o.gt_id = gt.gt_id) as hit from gt),
+all_ as (select scene_id, size_class, 1 as one, hit::int as hit from g union all select scene_id, c, 0, 0 from (select distinct scene_id from gt), unnest(['small','medium','large']) t(c))
+select scene_id, size_class, sum(one)::bigint as gt, sum(hit)::bigint as detected, round(sum(hit)/nullif(sum(one),0)::double,6) as recall from all_ group by grouping sets ((scene_id, size_class), (size_class))""", "fx_boxes", "fx_gt"))
 def by_size(spark: SparkSession, folder: str) -> DataFrame:
     preds, gt = _inputs(spark, folder)
     return tidy(E.scores_by_size(gt, E.match_gt(preds, gt)[0], F.lit(1800 * 1200)))
@@ -169,6 +170,11 @@ def mask_quality(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(E.mask_quality(*_mask_pairs(spark, folder)).select("gt_id", "pred_id", "iou", "dice", "completeness", "contamination"))
 
 
+@query("poor_masks", with_views(f"with {PAIRS_SQL} select scene_id, gt_id, pred_id, round(c/greatest(1,n+p-c)::double,6) as iou from q join fx_shapes on det_id = gt_id where c/greatest(1,n+p-c)::double < 0.5", "fx_runs"))
+def poor_masks(spark: SparkSession, folder: str) -> DataFrame:
+    return tidy(E.poor_masks(E.mask_quality(*_mask_pairs(spark, folder))))
+
+
 @query("boundary_fscore", with_views(f"""with {PX}, pairs as (select a.det_id as gt_id, b.det_id as pred_id from fx_shapes a join fx_shapes b on b.det_id = a.det_id + 4 and b.scene_id = a.scene_id),
 shift as (select dx, dy from range(-1,2) a(dx), range(-1,2) b(dy)), near as (select dx, dy from range(-2,3) a(dx), range(-2,3) b(dy)),
 core as (select det_id, y, x from (select p.det_id, p.y+dy as y, p.x+dx as x from px p, shift) group by all having count(*) = 9),
@@ -298,6 +304,15 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(members.select("det_id", "entity_id", "pos", "merged_into", "reason"))
 
 
+@query("entity_labels", with_views(FUSE_SQL + """,
+sighted as (select e.id as entity_id, d.source as label, coalesce(s.k.n + 1, 1) as pos from steps s join entities e on e.slot = coalesce(s.k.slot, s.c.slot) join fx_detections d on d.det_id = s.c.id)
+select entity_id, label, min(pos) as pos from sighted group by all""", "fx_detections"))
+def entity_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fusion_input(spark, folder)
+    _, members = U.fuse(rows)
+    return tidy(U.entity_labels(members, view(spark, folder, "fx_detections").select("det_id", F.col("source").alias("label"))))
+
+
 @query("merged_confidence", with_views("""
 with b as (select scene_id, category, wx0, wy0, wx1, wy1, max(confidence) as best from fx_detections group by all)
 select scene_id, category, round(least(0.99::double, max(best) + 0.15::double*(sum(best)-max(best))), 6) as confidence from b group by all""", "fx_detections"))
