@@ -6,8 +6,8 @@ principle, in at most one symbol of some chunk; so each chunk gives one key for
 left out, and all such pairs share a key. Pairs come from the join on keys alone, whose
 condition is the distance of the signatures, and links are confirmed on the full sets.
 
-Near copies would give a key all their pairs. Each document is therefore first compared with
-the nearest of those that come first in one of its keys; if they are linked, that one is its centre, at a known
+Near copies would give a key all their pairs. Each document is therefore first compared, in a
+few rounds, with the nearest of those that come first or last in its keys; if they are linked, that one is its centre, at a known
 Jaccard distance. Only centres of parts that aren't joined yet meet over the keys. The
 Jaccard distance is a metric, so members of two centres can be linked only where the distance
 of the centres is at most the threshold's and theirs together; just these meet as well.
@@ -54,6 +54,8 @@ DISTANCE = distance(CHUNKS)
 #: The highest bit of each symbol, and the others.
 HIGH = sum(1 << (BITS * i + BITS - 1) for i in range(SYMBOLS))
 REST = (1 << BITS * SYMBOLS) - 1 - HIGH
+#: Rounds in which documents look for a centre.
+ROUNDS = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,17 +156,25 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select(*pairs.columns, (1 - F.col("_shared") / union).alias("far"), (100 * F.col("_shared") >= percent * union).alias("linked"))
 
 
-def nearest_first(members: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Each document b with the nearest by signature (a) of those that come first in a key of it; well within the threshold, the smallest."""
+def nearest(candidates: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """For each document b the nearest by signature (a) of its ``candidates`` (rep, other) within the distance; well within the threshold, the smallest."""
     signed = reps.select("rep", *symbols(chunks))
-    x = members.where("rep > lo").select("rep", "lo").distinct().join(signed, "rep")
     far = sum(errors(chunks), F.lit(0))
-    pairs = x.alias("x").join(signed.alias("y"), (F.col("x.lo") == F.col("y.rep")) & (far <= distance(chunks)))
+    pairs = candidates.join(signed, "rep").alias("x").join(signed.alias("y"), (F.col("x.other") == F.col("y.rep")) & (far <= distance(chunks)))
     well = chunks * SYMBOLS * (100 - percent) // 200
-    best = pairs.groupBy(F.col("x.rep").alias("b")).agg(F.min(F.struct(F.greatest(far, F.lit(well)).alias("far"), F.col("x.lo").alias("a"))).alias("m"))
+    best = pairs.groupBy(F.col("x.rep").alias("b")).agg(F.min(F.struct(F.greatest(far, F.lit(well)).alias("far"), F.col("x.other").alias("a"))).alias("m"))
     return best.select("m.a", "b")
 
 
+def open_members(members: DataFrame) -> DataFrame:
+    """Members of keys that two parts share, each with ``other``: the smallest or the largest member of its key, whichever is of another part; null for neither."""
+    one = F.struct("rep", "part")
+    ends = (members.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("part").alias("p"), F.max("part").alias("q"))
+            .where("p < q").select("key", "lo", "hi"))
+    other = F.when(F.col("lo.part") != F.col("part"), F.col("lo.rep")).when(F.col("hi.part") != F.col("part"), F.col("hi.rep"))
+    return members.join(ends, "key").select("key", "slot", "rep", "part", other.alias("other"))
+
+
 def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
     """Pairs a < b of centres of two parts with a key in common whose signatures are near enough, with their radii; ``tips`` has (key, centre, part, n, radius, s0, s1, ...)."""
     least = (100 - percent) / 100
@@ -177,37 +187,59 @@ def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
 
 
 def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked; ``open_`` has (key, rep, centre, away)."""
+    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, slot, rep, centre, away)."""
     of = lambda side: (open_.join(rest.select(F.col(side).alias("centre"), F.col("a").alias("ca"), F.col("b").alias("cb"), "far"), "centre")
                        .join(reps.select("rep", "n", *symbols(chunks)), "rep"))
-    least = (100 - percent) / 100
+    wrong, least = errors(chunks), (100 - percent) / 100
+    # The first chunk with at most one error; all keys of a chunk are shared if it has none.
+    first = F.coalesce(*[F.when(e <= 1, 2 * c + (e == 0).cast("int")) for c, e in enumerate(wrong)])
+    chunk = F.floor(F.col("x.slot") / SYMBOLS)
+    once = (F.col("x.slot") == F.col("y.slot")) & ((first == 2 * chunk) | (first == 2 * chunk + 1) & (F.col("x.slot") % SYMBOLS == 0))
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.ca") == F.col("y.ca")) & (F.col("x.cb") == F.col("y.cb"))
           & (F.col("x.away") + F.col("y.away") + least >= F.col("x.far") - 1e-9) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-          & (sum(errors(chunks), F.lit(0)) <= distance(chunks)))
+          & (sum(wrong, F.lit(0)) <= distance(chunks)) & once)
     pairs = of("a").alias("x").join(of("b").alias("y"), on)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
 
 
 def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Links (a, b), enough of them to give all components; ``members`` has (key, rep, lo), lo the smallest rep of the key."""
-    starred = materialize(compared(nearest_first(members, reps, percent, chunks), sets, percent).where("linked").select("a", "b", "far"))
-    parts = components(starred)
-    placed = (reps.select("rep").join(starred.select(F.col("b").alias("rep"), F.col("a").alias("centre"), F.col("far").alias("away")), "rep", "left")
-              .join(parts.select(F.col("id").alias("rep"), F.col("component").alias("part")), "rep", "left")
-              .select("rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away"), F.coalesce("part", "rep").alias("part")))
+    """Links (a, b), enough of them to give all components; ``members`` has (key, slot, rep).
+
+    In ``ROUNDS`` rounds, which only save work, each document is compared with the nearest of
+    those that come first or last in its keys and are of another part; keys within one part
+    drop out. A document's first link is to its centre. What is left meets by centres.
+    """
+    links, now = None, members.withColumn("part", F.col("rep"))
+    for turn in range(ROUNDS):
+        held = materialize(open_members(now))
+        wanted = held.where("other is not null").select("rep", "other").distinct()
+        if links is not None:
+            wanted = wanted.join(links.select(F.col("b").alias("rep"), F.col("a").alias("other")), ["rep", "other"], "left_anti")
+        fresh = materialize(compared(nearest(wanted, reps, percent, chunks), sets, percent).where("linked").select("a", "b", "far", F.lit(turn).alias("turn")))
+        if turn:
+            discard(now)
+        found = not fresh.isEmpty()
+        links = fresh if links is None else links.unionByName(fresh)
+        parts = materialize(components(links).select(F.col("id").alias("rep"), F.col("component").alias("of")))
+        again = held.select("key", "slot", "rep").join(parts, "rep", "left")
+        now = materialize(again.select("key", "slot", "rep", F.coalesce("of", "rep").alias("part")))
+        discard(held)
+        if not found:
+            break
+    star = links.groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("turn", "a", "far")).alias("s")).select("rep", F.col("s.a").alias("centre"), F.col("s.far").alias("away"))
+    placed = (reps.select("rep").join(star, "rep", "left")
+              .select("rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")))
     placed = materialize(placed)
-    there = members.select("key", "rep").join(placed, "rep")
-    apart = there.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    open_ = materialize(there.join(apart, "key"))
+    open_ = materialize(open_members(now).select("key", "slot", "rep", "part").join(placed, "rep"))
+    discard(now)
     radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
     tips = open_.select("key", "centre", "part").distinct().join(radius, "centre").join(reps.select(F.col("rep").alias("centre"), "n", *symbols(chunks)), "centre")
     met = materialize(compared(met_centres(tips, percent, chunks), sets, percent))
-    links = starred.select("a", "b").unionByName(met.where("linked").select("a", "b"))
     least = (100 - percent) / 100
     rest = met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("far") - 1e-9 <= least + F.col("ra") + F.col("rb")))
     more = materialize(compared(met_members(open_, rest.select("a", "b", "far"), reps, percent, chunks), sets, percent).where("linked").select("a", "b"))
-    all_ = materialize(links.unionByName(more))
-    discard(starred, placed, open_, met, more)
+    all_ = materialize(links.select("a", "b").unionByName(met.where("linked").select("a", "b")).unionByName(more))
+    discard(placed, open_, met, more)
     return all_
 
 
@@ -225,9 +257,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     reps = materialize(full.groupBy("print").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r"))
                        .select("print", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"))
-    keyed = reps.select("rep", F.explode(keys(F.col("sig"), chunks)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "lo")
-    members = materialize(keyed.join(shared, "key").select("key", "rep", "lo"))
+    keyed = reps.select("rep", F.posexplode(keys(F.col("sig"), chunks)).alias("slot", "key"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    members = materialize(keyed.join(shared, "key").select("key", F.col("slot").cast("short").alias("slot"), "rep"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
 
     def start() -> Callable[..., Iterator[tuple]]:

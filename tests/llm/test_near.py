@@ -87,7 +87,7 @@ def test_documents_that_share_a_part_make_no_pairs(spark, percent, monkeypatch):
     seen, plain = [], hamming.compared
     monkeypatch.setattr(hamming, "compared", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
     assert all(r.kept for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect())
-    assert seen[0] < 1500 and seen[1:] == [0, 0]  # one with its key's smallest, then none within the distance
+    assert sum(seen) == 0  # keys are shared, but no pair is within the distance
 
 
 def test_many_near_copies_meet_once(spark, monkeypatch):
@@ -104,4 +104,4 @@ def test_many_near_copies_meet_once(spark, monkeypatch):
     seen, plain = [], hamming.compared
     monkeypatch.setattr(hamming, "compared", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
     found = {r.doc_id: r.component_id for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
-    assert found == linked_by_loop(rows, 85) and sum(seen) < 600
+    assert found == linked_by_loop(rows, 85) and sum(seen) <= hamming.ROUNDS * 300
