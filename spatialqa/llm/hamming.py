@@ -54,6 +54,8 @@ DISTANCE = distance(CHUNKS)
 #: The highest bit of each symbol, and the others.
 HIGH = sum(1 << (BITS * i + BITS - 1) for i in range(SYMBOLS))
 REST = (1 << BITS * SYMBOLS) - 1 - HIGH
+#: Bits of a key that tell its chunk and symbol.
+SLOT = 511
 #: Rounds in which documents look for a centre.
 ROUNDS = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,12 +114,13 @@ def signatures(docs: DataFrame, chunks: int = CHUNKS) -> DataFrame:
 
 
 def keys(sig: Column, chunks: int = CHUNKS) -> Column:
-    """One key for each chunk and each of its symbols left out."""
+    """One key for each chunk and each of its symbols left out; its lowest bits tell which."""
     out = []
     for c in range(chunks):
         for s in range(SYMBOLS):
             keep = ((1 << BITS * SYMBOLS) - 1) ^ (((1 << BITS) - 1) << BITS * s)
-            out.append(F.xxhash64(F.lit(c * SYMBOLS + s), sig[c].bitwiseAND(F.lit(keep))))
+            slot = F.lit(c * SYMBOLS + s)
+            out.append(F.xxhash64(slot, sig[c].bitwiseAND(F.lit(keep))).bitwiseAND(F.lit(~SLOT)).bitwiseOR(slot.cast("long")))
     return F.array(*out)
 
 
@@ -172,7 +175,7 @@ def open_members(members: DataFrame) -> DataFrame:
     ends = (members.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("part").alias("p"), F.max("part").alias("q"))
             .where("p < q").select("key", "lo", "hi"))
     other = F.when(F.col("lo.part") != F.col("part"), F.col("lo.rep")).when(F.col("hi.part") != F.col("part"), F.col("hi.rep"))
-    return members.join(ends, "key").select("key", "slot", "rep", "part", other.alias("other"))
+    return members.join(ends, "key").select("key", "rep", "part", other.alias("other"))
 
 
 def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
@@ -187,14 +190,15 @@ def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
 
 
 def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, slot, rep, centre, away)."""
+    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, rep, centre, away)."""
     of = lambda side: (open_.join(rest.select(F.col(side).alias("centre"), F.col("a").alias("ca"), F.col("b").alias("cb"), "far"), "centre")
                        .join(reps.select("rep", "n", *symbols(chunks)), "rep"))
     wrong, least = errors(chunks), (100 - percent) / 100
     # The first chunk with at most one error; all keys of a chunk are shared if it has none.
     first = F.coalesce(*[F.when(e <= 1, 2 * c + (e == 0).cast("int")) for c, e in enumerate(wrong)])
-    chunk = F.floor(F.col("x.slot") / SYMBOLS)
-    once = (F.col("x.slot") == F.col("y.slot")) & ((first == 2 * chunk) | (first == 2 * chunk + 1) & (F.col("x.slot") % SYMBOLS == 0))
+    slot = F.col("x.key").bitwiseAND(F.lit(SLOT))
+    chunk = F.floor(slot / SYMBOLS)
+    once = (first == 2 * chunk) | (first == 2 * chunk + 1) & (slot % SYMBOLS == 0)
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.ca") == F.col("y.ca")) & (F.col("x.cb") == F.col("y.cb"))
           & (F.col("x.away") + F.col("y.away") + least >= F.col("x.far") - 1e-9) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
           & (sum(wrong, F.lit(0)) <= distance(chunks)) & once)
@@ -203,34 +207,37 @@ def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int
 
 
 def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Links (a, b), enough of them to give all components; ``members`` has (key, slot, rep).
+    """Links (a, b), enough of them to give all components; ``members`` has (key, rep, other).
 
     In ``ROUNDS`` rounds, which only save work, each document is compared with the nearest of
     those that come first or last in its keys and are of another part; keys within one part
     drop out. A document's first link is to its centre. What is left meets by centres.
     """
-    links, now = None, members.withColumn("part", F.col("rep"))
+    tried, now, held = None, members, members
     for turn in range(ROUNDS):
-        held = materialize(open_members(now))
-        wanted = held.where("other is not null").select("rep", "other").distinct()
-        if links is not None:
-            wanted = wanted.join(links.select(F.col("b").alias("rep"), F.col("a").alias("other")), ["rep", "other"], "left_anti")
-        fresh = materialize(compared(nearest(wanted, reps, percent, chunks), sets, percent).where("linked").select("a", "b", "far", F.lit(turn).alias("turn")))
         if turn:
+            held = materialize(open_members(now))
             discard(now)
-        found = not fresh.isEmpty()
-        links = fresh if links is None else links.unionByName(fresh)
+        wanted = held.where("other is not null").select("rep", "other").distinct()
+        if turn:
+            wanted = wanted.join(tried.select(F.col("b").alias("rep"), F.col("a").alias("other")), ["rep", "other"], "left_anti")
+        fresh = materialize(compared(nearest(wanted, reps, percent, chunks), sets, percent).select("a", "b", "far", "linked", F.lit(turn).alias("turn")))
+        found = not fresh.where("linked").isEmpty()
+        tried = tried.unionByName(fresh) if turn else fresh
+        links = tried.where("linked")
         parts = materialize(components(links).select(F.col("id").alias("rep"), F.col("component").alias("of")))
-        again = held.select("key", "slot", "rep").join(parts, "rep", "left")
-        now = materialize(again.select("key", "slot", "rep", F.coalesce("of", "rep").alias("part")))
+        now = materialize(held.select("key", "rep").join(parts, "rep", "left").select("key", "rep", F.coalesce("of", "rep").alias("part")))
         discard(held)
         if not found:
             break
-    star = links.groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("turn", "a", "far")).alias("s")).select("rep", F.col("s.a").alias("centre"), F.col("s.far").alias("away"))
+    # A document of several texts has no one place among the others: it is its own centre, and nobody else's.
+    several = reps.groupBy("rep").count().where("count > 1")
+    plain = links.join(several.select(F.col("rep").alias("a")), "a", "left_anti").join(several.select(F.col("rep").alias("b")), "b", "left_anti")
+    star = plain.groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("turn", "a", "far")).alias("s")).select("rep", F.col("s.a").alias("centre"), F.col("s.far").alias("away"))
     placed = (reps.select("rep").join(star, "rep", "left")
               .select("rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")))
     placed = materialize(placed)
-    open_ = materialize(open_members(now).select("key", "slot", "rep", "part").join(placed, "rep"))
+    open_ = materialize(open_members(now).select("key", "rep", "part").join(placed, "rep"))
     discard(now)
     radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
     tips = open_.select("key", "centre", "part").distinct().join(radius, "centre").join(reps.select(F.col("rep").alias("centre"), "n", *symbols(chunks)), "centre")
@@ -257,9 +264,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     reps = materialize(full.groupBy("print").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r"))
                        .select("print", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"))
-    keyed = reps.select("rep", F.posexplode(keys(F.col("sig"), chunks)).alias("slot", "key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = materialize(keyed.join(shared, "key").select("key", F.col("slot").cast("short").alias("slot"), "rep"))
+    keyed = reps.select("rep", F.explode(keys(F.col("sig"), chunks)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    other = F.when(F.col("rep") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    members = materialize(keyed.join(shared, "key").select("key", "rep", other.alias("other")))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
 
     def start() -> Callable[..., Iterator[tuple]]:
@@ -269,7 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sets = materialize(flat_map(squeezed(docs).join(wanted, "doc_id").select("doc_id", "z"), start, fields("id long,found longs")))
     links = joining_links(members, reps, sets, percent, chunks)
-    discard(members, sets)
+    discard(sets)
     found = components(links)
     classes = reps.join(found, reps.rep == found.id, "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("c"))
     out = signed.join(classes, signed.print == classes.p, "left")

@@ -105,3 +105,13 @@ def test_many_near_copies_meet_once(spark, monkeypatch):
     monkeypatch.setattr(hamming, "compared", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
     found = {r.doc_id: r.component_id for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert found == linked_by_loop(rows, 85) and sum(seen) <= hamming.ROUNDS * 300
+
+
+def test_an_id_with_several_texts_links_by_each(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    one, two, three = ([word() for _ in range(120)] for _ in range(3))
+    edit = lambda t, at: " ".join([*t[:at], "edited", *t[at + 1:]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (1, edit(one, 7)), (9, edit(two, 30)), (8, edit(two, 90)), (3, " ".join(three)), (4, edit(three, 50))]
+    found = {(r.doc_id, r.component_id) for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert found == {(5, 1), (1, 1), (9, 1), (8, 1), (3, 3), (4, 3)}
