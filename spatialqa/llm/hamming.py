@@ -11,6 +11,8 @@ few rounds, with the nearest of those that come first or last in its keys; if th
 Jaccard distance. Only centres of parts that aren't joined yet meet over the keys. The
 Jaccard distance is a metric, so members of two centres can be linked only where the distance
 of the centres is at most the threshold's and theirs together; just these meet as well.
+Before that, the shingles that no other part has are counted: no link across parts can use
+them, so texts around a common passage, alike but not enough, drop out without a pair.
 """
 from __future__ import annotations
 
@@ -178,21 +180,44 @@ def open_members(members: DataFrame) -> DataFrame:
     return members.join(ends, "key").select("key", "rep", "part", other.alias("other"))
 
 
+def shareable(open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``open_`` (key, rep, part, ...) that a link to another part can still reach, with the sizes ``lo`` to ``hi`` of their sets and ``most``, the largest set they can link with.
+
+    Shingles that no other part has are in no intersection with one. If m others are left of n, a
+    link with a set of n' needs 100 * m >= percent * (n + n' - m), and m of at least ``percent`` of n.
+    """
+    ends = open_.select(F.col("rep").alias("id"), "part").distinct()
+    each = sets.join(ends, "id").select("id", "part", F.explode("found").alias("shingle"))
+    several = each.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
+    left = each.join(several, "shingle").groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("m"))
+    sizes = reps.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    most = F.floor(F.col("m") * (100 + percent) / percent + 1e-6) - F.col("lo")
+    return open_.join(left.join(sizes, "rep").where(f"100 * m >= {percent} * lo").select("rep", "lo", "hi", most.alias("most")), "rep")
+
+
+def fitting(percent: int) -> Column:
+    """Whether sets of the rows ``x`` and ``y`` of a join can be linked, by their sizes and by what they have in common with other parts."""
+    return ((100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
+            & (F.col("x.lo") <= F.col("y.most")) & (F.col("y.lo") <= F.col("x.most")))
+
+
 def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Pairs a < b of centres of two parts with a key in common whose signatures are near enough, with their radii; ``tips`` has (key, centre, part, n, radius, s0, s1, ...)."""
+    """Pairs a < b of centres of two parts with a key in common whose signatures are near enough, with their radii.
+
+    ``tips`` has (key, centre, part, lo, hi, most, radius, s0, s1, ...), bounds over the members that have the key.
+    """
     least = (100 - percent) / 100
     reach = F.least(F.ceil(100 * (least + F.col("x.radius") + F.col("y.radius")) - 1e-6), F.lit(100)).cast("int")
     near = sum(errors(chunks), F.lit(0)) <= F.get(F.array(*map(F.lit, allowed(chunks))), reach)
-    sizes = (F.col("x.radius") + F.col("y.radius") > 0) | (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.part") != F.col("y.part")) & sizes & near
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.part") != F.col("y.part")) & fitting(percent) & near
     pairs = tips.alias("x").join(tips.alias("y"), on)
     return pairs.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max("x.radius").alias("ra"), F.max("y.radius").alias("rb"))
 
 
 def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, rep, centre, away)."""
+    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, rep, centre, away, lo, hi, most)."""
     of = lambda side: (open_.join(rest.select(F.col(side).alias("centre"), F.col("a").alias("ca"), F.col("b").alias("cb"), "far"), "centre")
-                       .join(reps.select("rep", "n", *symbols(chunks)), "rep"))
+                       .join(reps.select("rep", *symbols(chunks)), "rep"))
     wrong, least = errors(chunks), (100 - percent) / 100
     # The first chunk with at most one error; all keys of a chunk are shared if it has none.
     first = F.coalesce(*[F.when(e <= 1, 2 * c + (e == 0).cast("int")) for c, e in enumerate(wrong)])
@@ -200,7 +225,7 @@ def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int
     chunk = F.floor(slot / SYMBOLS)
     once = (first == 2 * chunk) | (first == 2 * chunk + 1) & (slot % SYMBOLS == 0)
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.ca") == F.col("y.ca")) & (F.col("x.cb") == F.col("y.cb"))
-          & (F.col("x.away") + F.col("y.away") + least >= F.col("x.far") - 1e-9) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+          & (F.col("x.away") + F.col("y.away") + least >= F.col("x.far") - 1e-9) & fitting(percent)
           & (sum(wrong, F.lit(0)) <= distance(chunks)) & once)
     pairs = of("a").alias("x").join(of("b").alias("y"), on)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
@@ -237,10 +262,13 @@ def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     placed = (reps.select("rep").join(star, "rep", "left")
               .select("rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")))
     placed = materialize(placed)
-    open_ = materialize(open_members(now).select("key", "rep", "part").join(placed, "rep"))
+    ends = materialize(open_members(now).select("key", "rep", "part"))
     discard(now)
+    open_ = materialize(shareable(ends, reps, sets, percent).join(placed, "rep"))
+    discard(ends)
     radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
-    tips = open_.select("key", "centre", "part").distinct().join(radius, "centre").join(reps.select(F.col("rep").alias("centre"), "n", *symbols(chunks)), "centre")
+    tips = (open_.groupBy("key", "centre", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"))
+            .join(radius, "centre").join(reps.select(F.col("rep").alias("centre"), *symbols(chunks)), "centre"))
     met = materialize(compared(met_centres(tips, percent, chunks), sets, percent))
     least = (100 - percent) / 100
     rest = met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("far") - 1e-9 <= least + F.col("ra") + F.col("rb")))

@@ -90,6 +90,23 @@ def test_documents_that_share_a_part_make_no_pairs(spark, percent, monkeypatch):
     assert sum(seen) == 0  # keys are shared, but no pair is within the distance
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_texts_around_a_passage_drop_out_without_pairs(spark, percent, monkeypatch):
+    """Alike within the signature distance, but what is left of each is its own; a few are linked."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(104)]
+    texts = [[*common, *(word() for _ in range(30))] for _ in range(400)]
+    texts += [[*text[:-2], word(), word()] for text in texts[:20]]
+    rows = [(i, " ".join(text)) for i, text in enumerate(texts)]
+    assert 0.6 < similar(rows[0][1], rows[1][1]) < 0.7
+    seen, plain = [], hamming.met_centres
+    monkeypatch.setattr(hamming, "met_centres", lambda *a: (pairs := plain(*a), seen.append(pairs.count()))[0])
+    found = {r.doc_id: r.component_id for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert found == linked_by_loop(rows, percent) and len(set(found.values())) == 400
+    assert seen == [0]
+
+
 def test_many_near_copies_meet_once(spark, monkeypatch):
     """Two large groups that are alike but not linked: one pair of centres, not all pairs of members."""
     rng = random.Random(9)
