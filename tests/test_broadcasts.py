@@ -1,7 +1,9 @@
 """Rows that an explode makes are no broadcast, however few the planner takes them for."""
 import pytest
+from pyspark.sql import functions as F
 
 from spatialqa.registry import QUERIES
+from spatialqa.sources.derived import mask_runs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,3 +26,11 @@ def test_unfolded_rows_are_not_broadcast(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan
     assert [b for b in broadcasts(plan) if "Generate" in b] == []
+
+
+def test_shapes_are_dealt_before_they_become_runs(spark):
+    """One split of a file with many shapes is no single task that unfolds them all."""
+    shapes = spark.range(0, 50_000, 1, 1).selectExpr("id as det_id", "id div 400 as scene_id", "id % 300 as x", "id % 200 as y", "4L as w", "3L as h")
+    runs = mask_runs(shapes).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("det_id").alias("shapes")).collect()
+    assert sum(r.shapes for r in runs) == 50_000
+    assert len(runs) == 3 and max(r.shapes for r in runs) < 20_000
