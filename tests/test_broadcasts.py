@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spatialqa.operators import runs as M
 from spatialqa.registry import QUERIES
 from spatialqa.sources.derived import mask_runs
 
@@ -34,3 +35,15 @@ def test_shapes_are_dealt_before_they_become_runs(spark):
     runs = mask_runs(shapes).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("det_id").alias("shapes")).collect()
     assert sum(r.shapes for r in runs) == 50_000
     assert len(runs) == 3 and max(r.shapes for r in runs) < 20_000
+
+
+def test_rows_of_one_run_that_touch_are_one_node(spark, monkeypatch):
+    """A fork and a single column: labels pass over chains, not over each of their rows."""
+    fork = [(0, 0, y, 5, 7) for y in range(10)] + [(0, 0, 10, 3, 5), (0, 0, 10, 7, 9), (0, 0, 30, 0, 2)]
+    column = [(0, 1, y, 0, 1) for y in range(50)]
+    seen, plain = [], M.connected
+    monkeypatch.setattr(M, "connected", lambda nodes, links: (seen.append(nodes.count()), plain(nodes, links))[1])
+    rows = spark.createDataFrame(fork + column, "scene_id long, mask_id long, y long, x0 long, x1 long")
+    found = {(r.mask_id, r.pixels, r.x0, r.x1, r.y0, r.y1) for r in M.mask_components(rows).collect()}
+    assert found == {(0, 24, 3, 9, 0, 11), (0, 2, 0, 2, 30, 31), (1, 50, 0, 1, 0, 50)}
+    assert seen == [5]  # the fork's stem and prongs, the piece apart, the column
