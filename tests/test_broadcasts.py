@@ -29,6 +29,14 @@ def test_unfolded_rows_are_not_broadcast(spark, name):
     assert [b for b in broadcasts(plan) if "Generate" in b] == []
 
 
+@pytest.mark.parametrize("name", ["run_overlap", "pixel_owners", "ownership_conflicts", "scene_summary"])
+def test_rows_of_objects_are_not_broadcast(spark, name):
+    """Files are packed, so a table of every object counts as small to the planner; only totals may be broadcast."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert [b for b in broadcasts(plan) if "Aggregate" not in b] == []
+
+
 def test_shapes_are_dealt_before_they_become_runs(spark):
     """One split of a file with many shapes is no single task that unfolds them all."""
     shapes = spark.range(0, 50_000, 1, 1).selectExpr("id as det_id", "id div 400 as scene_id", "id % 300 as x", "id % 200 as y", "4L as w", "3L as h")
