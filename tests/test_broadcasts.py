@@ -45,6 +45,18 @@ def test_shapes_are_dealt_before_they_become_runs(spark):
     assert len(runs) == 3 and max(r.shapes for r in runs) < 20_000
 
 
+def test_shapes_that_lie_together_share_a_task(spark):
+    """Their pixels are aggregated there before they are shuffled."""
+    shapes = spark.range(0, 50_000, 1, 1).selectExpr("id as det_id", "id div 400 as scene_id", "id % 300 as x", "id % 200 as y", "4L as w", "3L as h")
+    assert mask_runs(shapes).select("scene_id", F.spark_partition_id()).distinct().count() <= 125 + 2
+
+
+@pytest.mark.parametrize("name", ["alpha_diff", "similarity"])
+def test_pixels_unfold_once_and_hash(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Generate explode(sequence(x0") == 1
+
+
 def test_rows_of_one_run_that_touch_are_one_node(spark, monkeypatch):
     """A fork and a single column: labels pass over chains, not over each of their rows."""
     fork = [(0, 0, y, 5, 7) for y in range(10)] + [(0, 0, 10, 3, 5), (0, 0, 10, 7, 9), (0, 0, 30, 0, 2)]
