@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spatialqa.operators import runs as M
+from spatialqa.operators import reports as R, runs as M
 from spatialqa.registry import QUERIES
 from spatialqa.sources.derived import mask_runs
 
@@ -57,6 +57,14 @@ def test_pixels_unfold_once_and_hash(spark, name):
     assert "SortAggregate" not in plan and plan.count("Generate explode(sequence(x0") == 1
 
 
+def test_runs_of_scans_are_spread_by_number(spark, monkeypatch):
+    """Their packed bytes would be joined to few partitions: scanned, candidate and tile runs are spread by how many they are."""
+    monkeypatch.setattr(R, "UNFOLDED_RUNS", 500, raising=False)
+    plan = QUERIES["scan_depth"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    spread = [line for line in plan.splitlines() if "Exchange hashpartitioning(scene_id" in line and "REPARTITION_BY_NUM" in line]
+    assert len(spread) >= 3
+
+
 def test_rows_of_one_run_that_touch_are_one_node(spark, monkeypatch):
     """A fork and a single column: labels pass over chains, not over each of their rows."""
     fork = [(0, 0, y, 5, 7) for y in range(10)] + [(0, 0, 10, 3, 5), (0, 0, 10, 7, 9), (0, 0, 30, 0, 2)]
