@@ -215,20 +215,26 @@ def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
 
 
 def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """Pairs of members of the centres (a, b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, rep, centre, away, lo, hi, most)."""
-    of = lambda side: (open_.join(rest.select(F.col(side).alias("centre"), F.col("a").alias("ca"), F.col("b").alias("cb"), "far"), "centre")
-                       .join(reps.select("rep", *symbols(chunks)), "rep"))
+    """Pairs of members of the centres (a < b, far) in ``rest`` that may be linked, each by the first of the keys it shares; ``open_`` has (key, rep, part, centre, away, lo, hi, most).
+
+    Members meet by key alone and look up their centres as a pair: one row for each member, key and pair
+    of its centre would grow with the square of a crowd of centres before anything is compared.
+    """
+    met = rest.select(F.col("a").alias("centre")).union(rest.select(F.col("b").alias("centre"))).distinct()
+    some = open_.join(met, "centre", "left_semi").join(reps.select("rep", *symbols(chunks)), "rep")
     wrong, least = errors(chunks), (100 - percent) / 100
     # The first chunk with at most one error; all keys of a chunk are shared if it has none.
     first = F.coalesce(*[F.when(e <= 1, 2 * c + (e == 0).cast("int")) for c, e in enumerate(wrong)])
     slot = F.col("x.key").bitwiseAND(F.lit(SLOT))
     chunk = F.floor(slot / SYMBOLS)
     once = (first == 2 * chunk) | (first == 2 * chunk + 1) & (slot % SYMBOLS == 0)
-    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.ca") == F.col("y.ca")) & (F.col("x.cb") == F.col("y.cb"))
-          & (F.col("x.away") + F.col("y.away") + least >= F.col("x.far") - 1e-9) & fitting(percent)
-          & (sum(wrong, F.lit(0)) <= distance(chunks)) & once)
-    pairs = of("a").alias("x").join(of("b").alias("y"), on)
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
+    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.centre") != F.col("y.centre"))
+          & fitting(percent) & (sum(wrong, F.lit(0)) <= distance(chunks)) & once)
+    pairs = some.alias("x").join(some.alias("y"), on).select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.centre", "y.centre").alias("ca"), F.greatest("x.centre", "y.centre").alias("cb"),
+        (F.col("x.away") + F.col("y.away")).alias("away"))
+    bounds = rest.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "far")
+    return pairs.join(bounds, ["ca", "cb"]).where(F.col("away") + least >= F.col("far") - 1e-9).select("a", "b").distinct()
 
 
 def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, chunks: int) -> DataFrame:

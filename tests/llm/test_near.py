@@ -132,3 +132,29 @@ def test_an_id_with_several_texts_links_by_each(spark):
     rows = [(5, " ".join(one)), (5, " ".join(two)), (1, edit(one, 7)), (9, edit(two, 30)), (8, edit(two, 90)), (3, " ".join(three)), (4, edit(three, 50))]
     found = {(r.doc_id, r.component_id) for r in hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
     assert found == {(5, 1), (1, 1), (9, 1), (8, 1), (3, 3), (4, 3)}
+
+
+def join_rows(node) -> int:
+    """Rows that the joins of an executed plan have made."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return join_rows(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return join_rows(node.plan())
+    below = sum(join_rows(node.children().apply(i)) for i in range(node.children().size()))
+    return below + (node.metrics().apply("numOutputRows").value() if "Join" in name else 0)
+
+
+def test_members_of_many_centres_do_not_meet_for_each_pair_of_them(spark):
+    """60 centres of a crowd whose 1,770 pairs may all have linked members: a row for each member, key and pair would be 35,400 rows before any is compared."""
+    rng, centres = random.Random(4), 60
+    open_ = [(key, c + 1000 * m, c, c, 0.1 * m, 100, 100, 1000) for c in range(centres) for m in range(2) for key in range(5)]
+    open_ = spark.createDataFrame(open_, "key long, rep long, part long, centre long, away double, lo long, hi long, most long")
+    reps = [(c + 1000 * m, [rng.randrange(1 << 60) for _ in range(hamming.CHUNKS)]) for c in range(centres) for m in range(2)]
+    # Members of the first two centres are alike but for one symbol of the first chunk, so they meet by the key without it.
+    reps[3] = (reps[3][0], [reps[1][1][0] ^ 1, *reps[1][1][1:]])
+    reps = spark.createDataFrame(reps, "rep long, sig array<long>")
+    rest = spark.createDataFrame([(a, b, 0.3) for a in range(centres) for b in range(a + 1, centres)], "a long, b long, far double")
+    found = hamming.met_members(open_, rest, reps, hamming.PERCENT, hamming.CHUNKS)
+    assert [tuple(r) for r in found.collect()] == [(1000, 1001)]
+    assert join_rows(found._jdf.queryExecution().executedPlan()) < 5000
