@@ -140,6 +140,15 @@ def symbols(chunks: int) -> list[Column]:
     return [F.col("sig")[c].alias(f"s{c}") for c in range(chunks)]
 
 
+def first_shared(chunks: int) -> tuple[Column, Column]:
+    """Whether the key of a join is the first one that the signatures of its rows ``x`` and ``y`` share, and whether they share none."""
+    # The first chunk with at most one error; all keys of a chunk are shared if it has none.
+    first = F.coalesce(*[F.when(e <= 1, 2 * c + (e == 0).cast("int")) for c, e in enumerate(errors(chunks))])
+    slot = F.col("x.key").bitwiseAND(F.lit(SLOT))
+    chunk = F.floor(slot / SYMBOLS)
+    return F.coalesce((first == 2 * chunk) | (first == 2 * chunk + 1) & (slot % SYMBOLS == 0), F.lit(False)), first.isNull()
+
+
 @lru_cache
 def allowed(chunks: int) -> tuple[int, ...]:
     """For Jaccard distances of 0, 1, ... 100 percent the symbols that differ in no more than ``MISSED`` of the pairs beyond."""
@@ -201,15 +210,36 @@ def fitting(percent: int) -> Column:
             & (F.col("x.lo") <= F.col("y.most")) & (F.col("y.lo") <= F.col("x.most")))
 
 
+def centre_tips(open_: DataFrame, placed: DataFrame, reps: DataFrame, chunks: int) -> DataFrame:
+    """(key, centre, part, lo, hi, most, radius, s0, s1, ...) of the centres in ``open_``: the keys of their own signature, then those that only members have.
+
+    Bounds are those of all open members at a centre's own keys, and of the members that have the key elsewhere.
+    """
+    bounds = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most")]
+    radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
+    signed = reps.select(F.col("rep").alias("centre"), "sig")
+    columns = ["key", "centre", "part", "lo", "hi", "most", "radius", *symbols(chunks)]
+    own = (open_.groupBy("centre", "part").agg(*bounds).join(radius, "centre").join(signed, "centre")
+           .withColumn("key", F.explode(keys(F.col("sig"), chunks))).select(*columns))
+    slot = F.col("key").bitwiseAND(F.lit(SLOT)).cast("int")
+    kept = F.get(F.array(*[F.lit(((1 << BITS * SYMBOLS) - 1) ^ (((1 << BITS) - 1) << BITS * i)) for i in range(SYMBOLS)]), slot % SYMBOLS)
+    there = F.xxhash64(slot, F.get("sig", F.floor(slot / SYMBOLS).cast("int")).bitwiseAND(kept)).bitwiseAND(F.lit(~SLOT)).bitwiseOR(slot.cast("long"))
+    theirs = (open_.groupBy("key", "centre", "part").agg(*bounds).join(radius, "centre").join(signed, "centre")
+              .where(F.col("key") != there).select(*columns))
+    return own.unionByName(theirs)
+
+
 def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
     """Pairs a < b of centres of two parts with a key in common whose signatures are near enough, with their radii.
 
-    ``tips`` has (key, centre, part, lo, hi, most, radius, s0, s1, ...), bounds over the members that have the key.
+    ``tips`` comes from ``centre_tips``. Centres that share keys of their own meet by the first of them alone: a row for each
+    key they or their members share would be dozens a pair. Those that share none meet by the keys of their members.
     """
     least = (100 - percent) / 100
     reach = F.least(F.ceil(100 * (least + F.col("x.radius") + F.col("y.radius")) - 1e-6), F.lit(100)).cast("int")
     near = sum(errors(chunks), F.lit(0)) <= F.get(F.array(*map(F.lit, allowed(chunks))), reach)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.part") != F.col("y.part")) & fitting(percent) & near
+    once, apart = first_shared(chunks)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.part") != F.col("y.part")) & fitting(percent) & near & (once | apart)
     pairs = tips.alias("x").join(tips.alias("y"), on)
     return pairs.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max("x.radius").alias("ra"), F.max("y.radius").alias("rb"))
 
@@ -222,14 +252,10 @@ def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int
     """
     met = rest.select(F.col("a").alias("centre")).union(rest.select(F.col("b").alias("centre"))).distinct()
     some = open_.join(met, "centre", "left_semi").join(reps.select("rep", *symbols(chunks)), "rep")
-    wrong, least = errors(chunks), (100 - percent) / 100
-    # The first chunk with at most one error; all keys of a chunk are shared if it has none.
-    first = F.coalesce(*[F.when(e <= 1, 2 * c + (e == 0).cast("int")) for c, e in enumerate(wrong)])
-    slot = F.col("x.key").bitwiseAND(F.lit(SLOT))
-    chunk = F.floor(slot / SYMBOLS)
-    once = (first == 2 * chunk) | (first == 2 * chunk + 1) & (slot % SYMBOLS == 0)
+    least = (100 - percent) / 100
+    once, _ = first_shared(chunks)
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.centre") != F.col("y.centre"))
-          & fitting(percent) & (sum(wrong, F.lit(0)) <= distance(chunks)) & once)
+          & fitting(percent) & (sum(errors(chunks), F.lit(0)) <= distance(chunks)) & once)
     pairs = some.alias("x").join(some.alias("y"), on).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.centre", "y.centre").alias("ca"), F.greatest("x.centre", "y.centre").alias("cb"),
         (F.col("x.away") + F.col("y.away")).alias("away"))
@@ -272,10 +298,9 @@ def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     discard(now)
     open_ = materialize(shareable(ends, reps, sets, percent).join(placed, "rep"))
     discard(ends)
-    radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
-    tips = (open_.groupBy("key", "centre", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"))
-            .join(radius, "centre").join(reps.select(F.col("rep").alias("centre"), *symbols(chunks)), "centre"))
+    tips = materialize(centre_tips(open_, placed, reps, chunks))
     met = materialize(compared(met_centres(tips, percent, chunks), sets, percent))
+    discard(tips)
     least = (100 - percent) / 100
     rest = met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("far") - 1e-9 <= least + F.col("ra") + F.col("rb")))
     more = materialize(compared(met_members(open_, rest.select("a", "b", "far"), reps, percent, chunks), sets, percent).where("linked").select("a", "b"))

@@ -158,3 +158,19 @@ def test_members_of_many_centres_do_not_meet_for_each_pair_of_them(spark):
     found = hamming.met_members(open_, rest, reps, hamming.PERCENT, hamming.CHUNKS)
     assert [tuple(r) for r in found.collect()] == [(1000, 1001)]
     assert join_rows(found._jdf.queryExecution().executedPlan()) < 5000
+
+
+def test_centres_meet_by_their_first_key_alone(spark, monkeypatch):
+    """They share dozens of keys; a row for each of them would grow with the square of a crowd dozens of times over."""
+    rows, seen, plain = families(1), [], hamming.met_centres
+
+    def counted(*a):
+        pairs = plain(*a)
+        seen.append((len(pairs.collect()), join_rows(pairs._jdf.queryExecution().executedPlan())))
+        return pairs
+
+    monkeypatch.setattr(hamming, "met_centres", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in hamming.near_duplicates(frame, 80).collect()} == linked_by_loop(rows, 80)
+    (pairs, made), = seen
+    assert 0 < pairs <= made < 2 * pairs
