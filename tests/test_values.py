@@ -275,3 +275,15 @@ def test_empty_category_list_means_the_annotated_ones(spark):
     none = spark.createDataFrame([], "scene_id long, x long, y long, w long, h long")
     ids = lambda **more: {r.pred_id for r in select_predictions(preds, notes, none, **more)[0].collect()}
     assert ids() == {1, 2} and ids(gt=gt) == {1}
+
+
+def test_a_candidates_scores_are_read_once(spark):
+    """Each use of the overall score or the reasons once read the map anew, hundreds of times a row."""
+    keys = [*Q.WEIGHTS, *Q.EXTRA_SCORES]
+    good = {k: 0.9 for k in keys} | {"background_leak": 0.05}
+    cases = [(good, "ACCEPT", "ACCEPT", 0), (good | {"color": 0.7}, "ACCEPT", "RETRY", 1), (good | {"shape": 0.3}, "ACCEPT", "REJECT", 1), (good | {"scale": 1.5}, "ACCEPT", "REJECT", 1),
+             (good | {"scale": float("nan")}, "ACCEPT", "REJECT", 1), (good | {"scale": None}, "ACCEPT", "RETRY", 1), (good | {"background_leak": 0.2}, "ACCEPT", "RETRY", 1), (good, "REJECT", "REJECT", 0)]
+    rows = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i long, scores map<string,double>, verdict string")
+    out = rows.select("i", Q.score_candidate(F.col("scores"), F.col("verdict"), F.lit(None).cast("array<string>")).alias("q"))
+    assert [(r.q.status, len(r.q.reasons)) for r in out.orderBy("i").collect()] == [c[2:] for c in cases]
+    assert out._jdf.queryExecution().analyzed().toString().count("try_element_at") <= len(keys)
