@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spatialqa.operators import reports as R, runs as M
+from spatialqa.operators import fusion as U, reports as R, runs as M
 from spatialqa.registry import QUERIES
 from spatialqa.sources.derived import mask_runs
 
@@ -75,3 +75,13 @@ def test_rows_of_one_run_that_touch_are_one_node(spark, monkeypatch):
     found = {(r.mask_id, r.pixels, r.x0, r.x1, r.y0, r.y1) for r in M.mask_components(rows).collect()}
     assert found == {(0, 24, 3, 9, 0, 11), (0, 2, 0, 2, 30, 31), (1, 50, 0, 1, 0, 50)}
     assert seen == [5]  # the fork's stem and prongs, the piece apart, the column
+
+
+def test_runs_are_dealt_once_to_be_united_and_linked(spark):
+    """Rows of a scene stay where they lie for the unions and the sweep; only links are shuffled again, without a join."""
+    rows = [(0, "a", m, y, 3 * m, 3 * m + 5) for m in range(4) for y in range(6)]
+    runs = spark.createDataFrame(rows, "scene_id long, category string, det_id long, y long, x0 long, x1 long")
+    links = U.mask_links(runs.select("scene_id", "category", "det_id").distinct(), runs)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange") == 2 and "Join" not in plan
+    assert {frozenset(r) for r in links.collect()} == {frozenset(p) for p in ((0, 1), (1, 2), (2, 3))}
