@@ -85,3 +85,9 @@ def test_runs_are_dealt_once_to_be_united_and_linked(spark):
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange") == 2 and "Join" not in plan
     assert {frozenset(r) for r in links.collect()} == {frozenset(p) for p in ((0, 1), (1, 2), (2, 3))}
+
+
+def test_pixels_of_accepted_assets_are_summed_before_names_join(spark):
+    """One row an asset meets the names, not one a segment."""
+    plan = QUERIES["accepted_ownership"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[paint_rank" in plan
