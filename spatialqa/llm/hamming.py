@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spatialqa.llm.common import discard, fields, flat_map, materialize, squeezed, text_of
 from spatialqa.llm.graph import components
+from spatialqa.session import packed_rows, unfolded
 
 SHINGLE, PERCENT = 5, 85
 SYMBOLS, BITS = 5, 12
@@ -172,7 +173,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def nearest(candidates: DataFrame, reps: DataFrame, percent: int, chunks: int) -> DataFrame:
     """For each document b the nearest by signature (a) of its ``candidates`` (rep, other) within the distance; well within the threshold, the smallest."""
-    signed = reps.select("rep", *symbols(chunks))
+    signed = packed_rows(reps).select("rep", *symbols(chunks))
     far = sum(errors(chunks), F.lit(0))
     pairs = candidates.join(signed, "rep").alias("x").join(signed.alias("y"), (F.col("x.other") == F.col("y.rep")) & (far <= distance(chunks)))
     well = chunks * SYMBOLS * (100 - percent) // 200
@@ -186,7 +187,7 @@ def open_members(members: DataFrame) -> DataFrame:
     ends = (members.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("part").alias("p"), F.max("part").alias("q"))
             .where("p < q").select("key", "lo", "hi"))
     other = F.when(F.col("lo.part") != F.col("part"), F.col("lo.rep")).when(F.col("hi.part") != F.col("part"), F.col("hi.rep"))
-    return members.join(ends, "key").select("key", "rep", "part", other.alias("other"))
+    return packed_rows(members).join(ends, "key").select("key", "rep", "part", other.alias("other"))
 
 
 def shareable(open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,12 +197,12 @@ def shareable(open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     link with a set of n' needs 100 * m >= percent * (n + n' - m), and m of at least ``percent`` of n.
     """
     ends = open_.select(F.col("rep").alias("id"), "part").distinct()
-    each = sets.join(ends, "id").select("id", "part", F.explode("found").alias("shingle"))
+    each = unfolded(sets.join(ends, "id").select("id", "part", F.explode("found").alias("shingle")))
     several = each.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("shingle")
     left = each.join(several, "shingle").groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("m"))
-    sizes = reps.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sizes = packed_rows(reps).groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     most = F.floor(F.col("m") * (100 + percent) / percent + 1e-6) - F.col("lo")
-    return open_.join(left.join(sizes, "rep").where(f"100 * m >= {percent} * lo").select("rep", "lo", "hi", most.alias("most")), "rep")
+    return packed_rows(open_).join(left.join(sizes, "rep").where(f"100 * m >= {percent} * lo").select("rep", "lo", "hi", most.alias("most")), "rep")
 
 
 def fitting(percent: int) -> Column:
@@ -216,8 +217,8 @@ def centre_tips(open_: DataFrame, placed: DataFrame, reps: DataFrame, chunks: in
     Bounds are those of all open members at a centre's own keys, and of the members that have the key elsewhere.
     """
     bounds = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most")]
-    radius = placed.groupBy("centre").agg(F.max("away").alias("radius"))
-    signed = reps.select(F.col("rep").alias("centre"), "sig")
+    radius = packed_rows(placed).groupBy("centre").agg(F.max("away").alias("radius"))
+    signed = packed_rows(reps).select(F.col("rep").alias("centre"), "sig")
     columns = ["key", "centre", "part", "lo", "hi", "most", "radius", *symbols(chunks)]
     own = (open_.groupBy("centre", "part").agg(*bounds).join(radius, "centre").join(signed, "centre")
            .withColumn("key", F.explode(keys(F.col("sig"), chunks))).select(*columns))
@@ -240,6 +241,7 @@ def met_centres(tips: DataFrame, percent: int, chunks: int) -> DataFrame:
     near = sum(errors(chunks), F.lit(0)) <= F.get(F.array(*map(F.lit, allowed(chunks))), reach)
     once, apart = first_shared(chunks)
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.centre") < F.col("y.centre")) & (F.col("x.part") != F.col("y.part")) & fitting(percent) & near & (once | apart)
+    tips = packed_rows(tips)
     pairs = tips.alias("x").join(tips.alias("y"), on)
     return pairs.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max("x.radius").alias("ra"), F.max("y.radius").alias("rb"))
 
@@ -251,7 +253,7 @@ def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int
     of its centre would grow with the square of a crowd of centres before anything is compared.
     """
     met = rest.select(F.col("a").alias("centre")).union(rest.select(F.col("b").alias("centre"))).distinct()
-    some = open_.join(met, "centre", "left_semi").join(reps.select("rep", *symbols(chunks)), "rep")
+    some = packed_rows(open_.join(met, "centre", "left_semi").join(packed_rows(reps).select("rep", *symbols(chunks)), "rep"))
     least = (100 - percent) / 100
     once, _ = first_shared(chunks)
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.centre") != F.col("y.centre"))
@@ -259,7 +261,7 @@ def met_members(open_: DataFrame, rest: DataFrame, reps: DataFrame, percent: int
     pairs = some.alias("x").join(some.alias("y"), on).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.centre", "y.centre").alias("ca"), F.greatest("x.centre", "y.centre").alias("cb"),
         (F.col("x.away") + F.col("y.away")).alias("away"))
-    bounds = rest.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "far")
+    bounds = packed_rows(rest).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "far")
     return pairs.join(bounds, ["ca", "cb"]).where(F.col("away") + least >= F.col("far") - 1e-9).select("a", "b").distinct()
 
 
@@ -277,13 +279,13 @@ def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
             discard(now)
         wanted = held.where("other is not null").select("rep", "other").distinct()
         if turn:
-            wanted = wanted.join(tried.select(F.col("b").alias("rep"), F.col("a").alias("other")), ["rep", "other"], "left_anti")
+            wanted = packed_rows(wanted).join(tried.select(F.col("b").alias("rep"), F.col("a").alias("other")), ["rep", "other"], "left_anti")
         fresh = materialize(compared(nearest(wanted, reps, percent, chunks), sets, percent).select("a", "b", "far", "linked", F.lit(turn).alias("turn")))
         found = not fresh.where("linked").isEmpty()
         tried = tried.unionByName(fresh) if turn else fresh
         links = tried.where("linked")
         parts = materialize(components(links).select(F.col("id").alias("rep"), F.col("component").alias("of")))
-        now = materialize(held.select("key", "rep").join(parts, "rep", "left").select("key", "rep", F.coalesce("of", "rep").alias("part")))
+        now = materialize(packed_rows(held).select("key", "rep").join(parts, "rep", "left").select("key", "rep", F.coalesce("of", "rep").alias("part")))
         discard(held)
         if not found:
             break
@@ -291,12 +293,12 @@ def joining_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     several = reps.groupBy("rep").count().where("count > 1")
     plain = links.join(several.select(F.col("rep").alias("a")), "a", "left_anti").join(several.select(F.col("rep").alias("b")), "b", "left_anti")
     star = plain.groupBy(F.col("b").alias("rep")).agg(F.min(F.struct("turn", "a", "far")).alias("s")).select("rep", F.col("s.a").alias("centre"), F.col("s.far").alias("away"))
-    placed = (reps.select("rep").join(star, "rep", "left")
+    placed = (packed_rows(reps).select("rep").join(star, "rep", "left")
               .select("rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("away", F.lit(0.0)).alias("away")))
     placed = materialize(placed)
     ends = materialize(open_members(now).select("key", "rep", "part"))
     discard(now)
-    open_ = materialize(shareable(ends, reps, sets, percent).join(placed, "rep"))
+    open_ = materialize(shareable(ends, reps, sets, percent).join(packed_rows(placed), "rep"))
     discard(ends)
     tips = materialize(centre_tips(open_, placed, reps, chunks))
     met = materialize(compared(met_centres(tips, percent, chunks), sets, percent))
@@ -323,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     reps = materialize(full.groupBy("print").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r"))
                        .select("print", F.col("r.doc_id").alias("rep"), "r.n", "r.sig"))
-    keyed = reps.select("rep", F.explode(keys(F.col("sig"), chunks)).alias("key"))
+    keyed = unfolded(reps.select("rep", F.explode(keys(F.col("sig"), chunks)).alias("key")))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     other = F.when(F.col("rep") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
     members = materialize(keyed.join(shared, "key").select("key", "rep", other.alias("other")))
@@ -334,11 +336,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         press = zstandard.ZstdDecompressor()
         return lambda doc, z: [(doc, shingles(press.decompress(z)).view(np.int64))]
 
-    sets = materialize(flat_map(squeezed(docs).join(wanted, "doc_id").select("doc_id", "z"), start, fields("id long,found longs")))
+    sets = materialize(flat_map(squeezed(docs).join(packed_rows(wanted), "doc_id").select("doc_id", "z"), start, fields("id long,found longs")))
     links = joining_links(members, reps, sets, percent, chunks)
     discard(sets)
     found = components(links)
-    classes = reps.join(found, reps.rep == found.id, "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("c"))
-    out = signed.join(classes, signed.print == classes.p, "left")
+    classes = packed_rows(reps).join(found, reps.rep == found.id, "left").select(F.col("print").alias("p"), F.coalesce("component", "rep").alias("c"))
+    out = packed_rows(signed).join(classes, signed.print == classes.p, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from spatialqa.llm import hamming
+from test_broadcasts import broadcasts
 
 
 def similar(a, b):
@@ -174,3 +175,17 @@ def test_centres_meet_by_their_first_key_alone(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in hamming.near_duplicates(frame, 80).collect()} == linked_by_loop(rows, 80)
     (pairs, made), = seen
     assert 0 < pairs <= made < 2 * pairs
+
+
+def test_tables_that_grow_with_documents_are_not_broadcast(spark, monkeypatch):
+    """Files are packed and a document has dozens of keys: the planner would send all keys, sets of minima and members through the driver."""
+    plans, plain = [], hamming.materialize
+    monkeypatch.setattr(hamming, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:300 - i] + [f"x{i}"] * 3)) for i in range(40)]
+    out = hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, 0) for i in range(40)}
+    sent = [b for plan in plans for b in broadcasts(plan)]
+    assert [b for b in sent if "Generate" in b or "sig#" in b or "MapInArrow" in b] == []
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 8
