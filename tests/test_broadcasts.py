@@ -2,9 +2,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spatialqa.operators import fusion as U, reports as R, runs as M
+from spatialqa.operators import fusion as U, ownership as O, pixels as P, reports as R, runs as M
 from spatialqa.registry import QUERIES
-from spatialqa.sources.derived import mask_runs
+from spatialqa.sources.derived import mask_runs, tile_runs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -91,3 +91,27 @@ def test_pixels_of_accepted_assets_are_summed_before_names_join(spark):
     """One row an asset meets the names, not one a segment."""
     plan = QUERIES["accepted_ownership"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[paint_rank" in plan
+
+
+def test_shapes_are_dealt_by_tile_and_their_runs_stay(spark):
+    """Stacks and tops of runs need no shuffle but that of the shapes, and tiles hold the same pixels as whole runs."""
+    shapes = spark.range(300).selectExpr("id as det_id", "id div 100 as scene_id", "id * 7 % 300 as x", "id * 5 % 200 as y", "40 + id % 9 as w", "30 + id % 7 as h", "id as paint_rank", "id as owner_no")
+    tiles = tile_runs(shapes)
+    top = O.top_segments(O.stack(tiles.drop("det_id"), shapes))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    assert tiles.filter("y div 32 <> _band or x0 div 128 <> _s or (x1 - 1) div 128 <> _s").isEmpty()
+    pixels = lambda runs: runs.groupBy("det_id", "y").agg(F.sum(F.col("x1") - F.col("x0")), F.min("x0"), F.max("x1")).collect()
+    assert set(pixels(tiles)) == set(pixels(mask_runs(shapes)))
+
+
+def test_regions_meet_tiles_as_one_row(spark):
+    """Runs in tiles are cut to regions where they lie: the join shuffles the regions alone."""
+    shapes = spark.range(300).selectExpr("id as det_id", "id div 100 as scene_id", "id * 7 % 300 as x", "id * 5 % 200 as y", "40 + id % 9 as w", "30 + id % 7 as h")
+    regions = spark.sql("select s.id as scene_id, y.id as y, r.x0, r.x1 from range(2) s, range(20, 90) y, values (30L, 140L), (150L, 151L), (200L, 290L) as r(x0, x1)")
+    cut = M.clip_tiles(tile_runs(shapes), regions)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and not [line for line in plan.splitlines() if "Exchange hashpartitioning(scene_id" in line and "det_id" in line]
+    plain = M.shared_pieces(mask_runs(shapes), regions)
+    count = lambda runs: {tuple(r) for r in runs.groupBy("det_id", "y").agg(F.sum(F.col("x1") - F.col("x0"))).collect()}
+    assert count(cut) == count(plain)
