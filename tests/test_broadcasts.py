@@ -115,3 +115,22 @@ def test_regions_meet_tiles_as_one_row(spark):
     plain = M.shared_pieces(mask_runs(shapes), regions)
     count = lambda runs: {tuple(r) for r in runs.groupBy("det_id", "y").agg(F.sum(F.col("x1") - F.col("x0"))).collect()}
     assert count(cut) == count(plain)
+
+
+@pytest.mark.parametrize("name", ["composite", "cutout"])
+def test_layers_meet_as_runs(spark, name):
+    """No pixel is shuffled: blended ones unfold below their sums, those of a cutout never."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    below = plan.splitlines()
+    pixels = [i for i, line in enumerate(below) if "Generate explode(sequence(x0" in line]
+    assert len(pixels) == (1 if name == "composite" else 0)
+    assert not [line for line in below if "Exchange" in line and " x#" in line]
+
+
+def test_layers_as_runs_blend_as_pixels_do(spark):
+    rows = [(0, y, x, x + 20, 40 * i % 256, 90 * i % 256, 7 * i % 256, a, i) for i, (x, a) in enumerate([(100, 255), (110, 128), (105, 0), (119, 60), (120, 255), (115, 9), (130, 200)]) for y in range(2 + i % 2)]
+    layers = spark.createDataFrame(rows, "scene_id long, y long, x0 long, x1 long, r int, g int, b int, a int, n int")
+    spots = lambda runs: runs.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
+    columns = ["scene_id", "x", "y", "r", "g", "b", "a"]
+    plain = {tuple(r) for r in P.composite(spots(layers), [F.col("n")]).select(columns).collect()}
+    assert {tuple(r) for r in spots(P.composite_runs(layers, [F.col("n")])).select(columns).collect()} == plain and len(plain) > 90
