@@ -134,3 +134,11 @@ def test_layers_as_runs_blend_as_pixels_do(spark):
     columns = ["scene_id", "x", "y", "r", "g", "b", "a"]
     plain = {tuple(r) for r in P.composite(spots(layers), [F.col("n")]).select(columns).collect()}
     assert {tuple(r) for r in spots(P.composite_runs(layers, [F.col("n")])).select(columns).collect()} == plain and len(plain) > 90
+
+
+def test_masks_of_a_pair_are_scored_in_one_task(spark):
+    """Boundaries are compared row by row where a pair lies: its runs are dealt once, by pair, and by nothing finer."""
+    plan = QUERIES["boundary_fscore"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not [line for line in exchanges if " y#" in line or "_s#" in line or "x0#" in line.split("REPARTITION")[0].replace("rangepartitioning", "")]
+    assert "Exchange hashpartitioning(scene_id" in plan and sum("gt_id" in line and "pred_id" in line and "REPARTITION_BY_NUM" in line for line in exchanges) == 1
