@@ -142,3 +142,26 @@ def test_masks_of_a_pair_are_scored_in_one_task(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert not [line for line in exchanges if " y#" in line or "_s#" in line or "x0#" in line.split("REPARTITION")[0].replace("rangepartitioning", "")]
     assert "Exchange hashpartitioning(scene_id" in plan and sum("gt_id" in line and "pred_id" in line and "REPARTITION_BY_NUM" in line for line in exchanges) == 1
+
+
+@pytest.mark.parametrize("name, runs_shuffled", [("completion_checks", 2), ("component_summary", 0)])
+def test_masks_stay_whole_in_a_task(spark, monkeypatch, name, runs_shuffled):
+    """Shapes are dealt by mask and unfold there, so unions and chains of runs need no shuffle of runs."""
+    plans, plain = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: (plans.append(df), plain(df))[1])
+    out = QUERIES[name](spark, DATA)
+    plan = (plans[0] if plans else out)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("REPARTITION_BY_NUM" in line for line in exchanges)
+    keys = [line.split("hashpartitioning(")[1].split("), ")[0] for line in exchanges]
+    unions = [k for k in keys if "x0#" in k]
+    assert unions == [] and sum("y#" in k for k in keys) <= 2 * runs_shuffled
+
+
+def test_only_ends_of_chains_are_written(spark, monkeypatch):
+    written, plain = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: (written.append(df.count()), plain(df))[1])
+    rows = [(0, m, y, 3, 6) for m in range(4) for y in range(100)]
+    found = M.mask_components(spark.createDataFrame(rows, "scene_id long, mask_id long, y long, x0 long, x1 long")).collect()
+    assert sorted((r.mask_id, r.pixels, r.x0, r.x1, r.y0, r.y1) for r in found) == [(m, 300, 3, 6, 0, 100) for m in range(4)]
+    assert written[0] == 8
