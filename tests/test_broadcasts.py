@@ -169,8 +169,8 @@ def test_only_ends_of_chains_are_written(spark, monkeypatch):
 
 def test_runs_of_samples_are_not_joined_with_their_sums(spark):
     """A mask's pixels come from a window where its runs lie, not from a second pass that a join shuffles."""
-    runs = spark.range(0, 7321).selectExpr("0L as scene_id", "id div 10 as object_id", "id % 10 as y", "0L as x0", "5L as x1")
+    runs = spark.range(0, 7321).selectExpr("0L as scene_id", "id div 10 as object_id", "id % 10 as y", "0L as x0", "5 + id % 2 as x1")
     objects = spark.sql("select 0L as scene_id, id as object_id, 'terrain' as element_type, 1 as ownership_priority from range(5)")
     targets = objects.selectExpr("scene_id", "object_id", "ownership_priority", "0L as wx", "0L as wy", "9L as ww", "9L as wh")
     plan = L.negative_samples(targets, objects, runs)._jdf.queryExecution().optimizedPlan().toString()
-    assert not [line for line in plan.splitlines() if "Aggregate" in line and "sum((x1#" in line]
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "sum(" in line]
